@@ -196,7 +196,8 @@ def add_language(rows: DataFrame, text: str, ranks: np.ndarray) -> DataFrame:
             out += tag(values.iloc[i : i + 500].tolist(), ranks)
         return pd.DataFrame(out, columns=["lang", "confidence", "parts"])
 
-    return rows.withColumn("tagged", F.pandas_udf(run, RESULT)(F.col(text)))
+    # Not to be repeated where a filter on the result is pushed below it.
+    return rows.withColumn("tagged", F.pandas_udf(run, RESULT).asNondeterministic()(F.col(text)))
 
 
 def language_cases(lyrics: DataFrame, labelled: DataFrame) -> DataFrame:
