@@ -1,14 +1,39 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core and their SQL.
+
+A module adds a query with :func:`query`; the SQL, where there is one, gives the
+same rows and column names over the same tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from cratewright.plans import collection_queries, series_queries, suggest_queries, text_queries  # noqa: F401
 
 
-def queries() -> dict:
-    return dict(QUERIES)
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    _load()
+    return dict(_SQL)
