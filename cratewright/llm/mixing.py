@@ -60,6 +60,35 @@ def plan(targets: DataFrame, sizes: DataFrame, total_tokens: int | None) -> Data
     return t.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
 
 
+def _before_line(texts: DataFrame, rest: DataFrame) -> DataFrame:
+    """The texts in key order whose prefix sum stays within their source's rest."""
+    bins = texts.groupBy("source_name", "bin").agg(F.sum("n_tokens").alias("tokens"))
+    # At most BINS rows a source: where in the histogram the rest ends.
+    upto = bins.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source_name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    over = upto.join(F.broadcast(rest), "source_name").where("upto > rest").groupBy("source_name").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("tokens")).alias("before")), "bin").alias("x"))
+    line = F.broadcast(rest.where("rest > 0").join(over, "source_name", "left").select("source_name", "rest", F.col("x.bin").alias("last_bin"), F.col("x.before").alias("before")))
+    placed = texts.join(line, "source_name")
+    inside = placed.where("last_bin is null or bin < last_bin").select("source_name", "doc_id", "n_tokens")
+    order = Window.partitionBy("source_name").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where("bin = last_bin").withColumn("sum", F.col("before") + F.sum("n_tokens").over(order)).where("sum <= rest")
+    return inside.unionByName(edge.select("source_name", "doc_id", "n_tokens"))
+
+
+def _part_of_an_epoch(texts: DataFrame, rest: DataFrame, rounds: int = 4) -> DataFrame:
+    """Texts that fill the rest of each source, none twice.
+
+    A long text that crosses the line is left out; later rounds fill the gap it
+    leaves with the next texts that fit.
+    """
+    taken = cut(_before_line(texts, rest))
+    for _ in range(rounds - 1):
+        used = taken.groupBy("source_name").agg(F.sum("n_tokens").alias("used"))
+        gap = cut(rest.join(used, "source_name", "left").select("source_name", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest")).where("rest > 0"))
+        fits = texts.join(F.broadcast(gap), "source_name").where("n_tokens <= rest").drop("rest").join(taken.select("source_name", "doc_id"), ["source_name", "doc_id"], "left_anti")
+        taken = cut(taken.unionByName(_before_line(cut(fits), gap)))
+    return taken
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, weight: Column | None = None, seed: int = 7, tokenizer: str = "byte_bpe_50k", folder: str | None = None, max_targets: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares).
 
@@ -69,27 +98,19 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, we
     tokens, budget, epochs, tokens and share really reached.  Documents of
     sources without target, and null or empty texts, are not used; targets
     without documents reach 0 and their share falls to the others in
-    proportion.  ``total_tokens`` caps the mixture; by default it is as large
+    proportion.  No source exceeds its budget.  ``total_tokens`` caps the mixture; by default it is as large
     as the repeats allow.
     """
     goals = targets.groupBy("source_name").agg(F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).where("source_name is not null")
     if goals.limit(max_targets + 1).count() > max_targets:
         raise ValueError(f"more than {max_targets} targets")
     texts = cut(sized_texts(docs, goals, weight, seed, tokenizer, folder))
-    bins = texts.groupBy("source_name", "bin").agg(F.sum("n_tokens").alias("tokens"))
-    sizes = bins.groupBy("source_name").agg(F.sum("tokens").alias("available"))
+    sizes = texts.groupBy("source_name").agg(F.sum("n_tokens").alias("available"))
     goal = cut(plan(goals, sizes, total_tokens))
-    # At most BINS rows a source: where in the histogram each budget ends.
-    upto = bins.withColumn("before", F.coalesce(F.sum("tokens").over(Window.partitionBy("source_name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = upto.join(F.broadcast(goal.select("source_name", "rest")), "source_name").where("before < rest").groupBy("source_name").agg(F.max("bin").alias("last_bin"), F.max("before").alias("before_last"))
-    line = F.broadcast(goal.join(last, "source_name", "left").select("source_name", "epochs", "rest", "last_bin", "before_last"))
-    placed = texts.join(line, "source_name")
-    inside = placed.where(F.coalesce(F.col("bin") != F.col("last_bin"), F.lit(True))).select("source_name", "doc_id", "n_tokens", (F.col("epochs") + F.coalesce((F.col("bin") < F.col("last_bin")).cast("int"), F.lit(0))).alias("repeats"))
-    order = Window.partitionBy("source_name").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where(F.col("bin") == F.col("last_bin")).withColumn("sum", F.col("before_last") + F.sum("n_tokens").over(order))
-    # The text at the line is taken if more than half of it lies before the line.
-    edge = edge.select("source_name", "doc_id", "n_tokens", (F.col("epochs") + (F.col("sum") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).alias("repeats"))
-    mixture = inside.unionByName(edge).where("repeats > 0").withColumn("repeats", F.col("repeats").cast("int"))
+    part = _part_of_an_epoch(texts, goal.select("source_name", "rest"))
+    epochs = texts.join(F.broadcast(goal.where("epochs > 0").select("source_name", "epochs")), "source_name").select("source_name", "doc_id", "n_tokens", F.col("epochs").alias("repeats"))
+    once = part.select("source_name", "doc_id", "n_tokens", F.lit(1).cast("bigint").alias("repeats"))
+    mixture = epochs.unionByName(once).groupBy("source_name", "doc_id", "n_tokens").agg(F.sum("repeats").cast("int").alias("repeats"))
     reached = mixture.groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_texts"), F.max("repeats").alias("most_repeats"))
     shares = goal.join(reached, "source_name", "left").select(
         "source_name",
