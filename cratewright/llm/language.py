@@ -35,6 +35,7 @@ NAMES = {
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"  # code 0 means none, the last code any other letter
 BITS = 6
 SIZE = 1 << 3 * BITS
+MOST = (1 << 32 - 3 * BITS) - 1  # counts above it rank alike
 PROFILE, DOC_PROFILE = 2000, 400  # n-grams kept of a language and of a stanza
 
 _OTHER = len(ALPHABET) + 1
@@ -127,8 +128,9 @@ def out_of_place(texts: list[str], ranks: np.ndarray) -> tuple[np.ndarray, np.nd
     doc, gram = ngrams(code, starts)
     key, n = np.unique(doc.astype(np.int64) * SIZE + gram, return_counts=True)
     doc, gram = key // SIZE, key % SIZE
-    order = np.lexsort((gram, -n, doc))
-    doc, gram = doc[order], gram[order]
+    # Sorted by text, falling count and n-gram, as one number each.
+    packed = np.sort(doc << 32 | (MOST - np.minimum(n, MOST)) << 3 * BITS | gram)
+    doc, gram = packed >> 32, packed & (SIZE - 1)
     rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
     top = rank < DOC_PROFILE
     doc, gram, rank = doc[top], gram[top], rank[top]
