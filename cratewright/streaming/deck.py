@@ -84,7 +84,8 @@ class SoloTimer(StatefulProcessor):
         return []
 
     def _frame(self, key, rows: list[tuple[str, int]]) -> pd.DataFrame:
-        return pd.DataFrame({"session": [key[0]] * len(rows), "path": [p for p, _ in rows], "played_at": pd.to_datetime([t for _, t in rows], unit="ms")})
+        at = pd.Series([t for _, t in rows], dtype="int64").astype("datetime64[ms]").astype("datetime64[ns]")
+        return pd.DataFrame({"session": pd.Series([str(key[0])] * len(rows), dtype=object), "path": pd.Series([str(p) for p, _ in rows], dtype=object), "played_at": at})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple[str, int]] = []
@@ -103,10 +104,13 @@ class SoloTimer(StatefulProcessor):
                     self.handle.registerTimer(now + self.seconds * 1000)
             elif self.solo.exists():
                 self.solo.clear()
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._frame(key, self._settle(expiredTimerInfo.getExpiryTimeInMs()))
+        out = self._settle(expiredTimerInfo.getExpiryTimeInMs())
+        if out:
+            yield self._frame(key, out)
 
     def close(self) -> None:
         pass
