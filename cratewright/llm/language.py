@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratewright.llm.batches import by_size
+
 # The languages, their names and codes.
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "sv")
 NAMES = {
@@ -102,8 +104,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column("text").to_pylist()
         for k, lang in enumerate(LANGS):
             mine = [_cleaned(t) for t, x in zip(texts, langs) if x == lang]
-            for i in range(0, len(mine), 500):
-                code, starts = letters(mine[i : i + 500])
+            for part in by_size(mine):
+                code, starts = letters(part)
                 # Once as written and once without accents, as accents get lost.
                 for c in (code, _FOLD[code]):
                     total[k] += np.bincount(ngrams(c, starts)[1], minlength=SIZE)
@@ -194,8 +196,8 @@ def add_language(rows: DataFrame, text: str, ranks: np.ndarray) -> DataFrame:
 
     def run(values: pd.Series) -> pd.DataFrame:
         out = []
-        for i in range(0, len(values), 500):
-            out += tag(values.iloc[i : i + 500].tolist(), ranks)
+        for part in by_size(values.tolist()):
+            out += tag(part, ranks)
         return pd.DataFrame(out, columns=["lang", "confidence", "parts"])
 
     # Not to be repeated where a filter on the result is pushed below it.

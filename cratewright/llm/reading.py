@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cratewright.llm.batches import by_size
+
 MAX_LABELLED = 4_000
 LEVELS = 4
 WORDS, GRAMS = 1 << 14, 1 << 13
@@ -162,8 +164,7 @@ def add_level(rows: DataFrame, text: str, model: Model) -> DataFrame:
 
     def run(values: pd.Series) -> pd.DataFrame:
         levels: list[tuple[int | None, float | None]] = []
-        for i in range(0, len(values), 500):
-            texts = [t or "" for t in values.iloc[i : i + 500]]
+        for texts in by_size([t or "" for t in values]):
             level, expected = model.predict(texts)
             levels += [(int(a), float(b)) if any(c.isalpha() for c in t) else (None, None) for a, b, t in zip(level, expected, texts)]
         return pd.DataFrame(levels, columns=["level", "expected"]).astype({"level": "Int32", "expected": "float64"})
