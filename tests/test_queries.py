@@ -28,7 +28,7 @@ def plain(v):
 
 
 def test_names():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 80
 
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("p") or not n[1].isdigit()])
