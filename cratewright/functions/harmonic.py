@@ -23,10 +23,9 @@ def key_number(key: Column) -> Column:
     return F.regexp_extract(F.trim(key), r"^(-?\d{1,9}).$", 1).try_cast("int")
 
 
-def key_compat(a: Column, b: Column) -> Column:
-    """Distance on the circle of twelve keys, letter included; 0.5 if either cannot be read."""
-    n1, n2 = key_number(a), key_number(b)
-    same = F.substring(F.trim(a), -1, 1) == F.substring(F.trim(b), -1, 1)
+def key_distance(n1: Column, l1: Column, n2: Column, l2: Column) -> Column:
+    """Distance of two keys given as number and letter; 0.5 if either has no number."""
+    same = l1 == l2
     d = F.least(F.abs(n1 - n2), 12 - F.abs(n1 - n2))
     return (
         F.when(n1.isNull() | n2.isNull(), 0.5)
@@ -40,6 +39,11 @@ def key_compat(a: Column, b: Column) -> Column:
     )
 
 
+def key_compat(a: Column, b: Column) -> Column:
+    """Distance on the circle of twelve keys, letter included; 0.5 if either cannot be read."""
+    return key_distance(key_number(a), F.substring(F.trim(a), -1, 1), key_number(b), F.substring(F.trim(b), -1, 1))
+
+
 def _pair_map(pairs: list[tuple[str, str, float]]) -> Column:
     return F.create_map(*(x for a, b, w in pairs for x in (F.lit(f"{a}\t{b}"), F.lit(w))))
 

@@ -105,12 +105,17 @@ def most_common(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
     return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(group, value, "n")
 
 
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Add ``batch``: rows in order, ``size`` to a batch; numbered by range partitions, not in one task."""
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Add the place of each row, from 0; numbered by range partitions, not in one task."""
     from cratewright.session import cut
 
     rows = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     n = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("_before")
-    return rows.join(F.broadcast(before), "_p").withColumn("batch", F.floor(n / size)).drop("_p", "_before")
+    return rows.join(F.broadcast(before), "_p").withColumn(out, n.cast("bigint")).drop("_p", "_before")
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Add ``batch``: rows in order, ``size`` to a batch."""
+    return numbered(df, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cratewright.operators.rank import numbered
 from cratewright.plans import suggest
 
 
 class Planner:
-    """Requests over tracks (path, artist, title, genre, bpm, key, stars, theme, bitrate) and what was played."""
+    """Requests over tracks (path, artist, title, genre, bpm, key, stars, theme, bitrate) and what was played.
+
+    Tracks without a column ``idx`` (their order) are numbered by path.
+    """
 
     def __init__(self, spark: SparkSession, tracks: DataFrame, show: tuple[str, ...] | None = suggest.SHOW_GENRES):
         self.spark, self.show = spark, show
-        self.tracks = suggest.dedup_tracks(tracks).cache()
+        self.tracks = self._indexed(tracks)
         self.history = spark.createDataFrame([], "path string, artist string, title string, genre string, bpm double, played_at timestamp")
 
     def reload(self, tracks: DataFrame) -> None:
         """Replace the collection and every index on it."""
         self.tracks.unpersist()
-        self.tracks = suggest.dedup_tracks(tracks).cache()
+        self.tracks = self._indexed(tracks)
+
+    def _indexed(self, tracks: DataFrame) -> DataFrame:
+        one = suggest.dedup_tracks(tracks)
+        return (one if "idx" in one.columns else numbered(one, "path", "idx")).cache()
 
     def count(self) -> int:
         return self.tracks.count()

@@ -1,9 +1,11 @@
 """Suggestions: which tracks go with an anchor, and which lead to another genre.
 
-Many anchors are scored in one plan.  Anchors are a stated query set and are
-joined in blocks: the tempo term cannot exceed the other terms' reach, so the
-join runs over all tracks for each anchor, and the anchors' side is broadcast
-only up to ``MAX_ANCHORS``.
+Many anchors are scored in one plan.  What depends on one side only (key
+number, artist, genre number) is computed once per row before the pairs are
+formed; an anchor carries its score for each genre and theme as an array, so a
+pair costs a few array reads.  Score and track number are packed into one long,
+so the best track of each artist is a hash aggregate on the map side, and only
+one row per anchor and artist is exchanged.
 """
 
 from __future__ import annotations
@@ -12,19 +14,99 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewright.functions import harmonic, keys
-from cratewright.functions.lookups import CORE_GENRES, FLOOR_GENRES, NEIGHBOURS, SHOW_GENRES
-from cratewright.operators.rank import diverse_top
+from cratewright.functions.lookups import CORE_GENRES, FLOOR_GENRES, NEIGHBOURS, SHOW_GENRES, THEME_CLUSTERS, theme_pairs, two_steps
 
 MAX_ANCHORS = 10_000
-TRACK = ("path", "artist", "title", "genre", "bpm", "key", "stars", "theme")
+TRACK = ("idx", "path", "artist", "title", "genre", "bpm", "key", "stars", "theme")
+GENRES = tuple(sorted(NEIGHBOURS))
+THEMES = tuple(sorted({t for c in THEME_CLUSTERS for t in c} | {"surreal"}))
+IDX_BITS = 40  # of a packed score: millionths above, tracks in order below
 
 
-def _who(artist: Column) -> Column:
-    return F.lower(F.trim(artist))
+def _number(value: Column, names: tuple[str, ...]) -> Column:
+    """The place of a value in a list, from 0; null if it is not in it."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, names)), value), F.lit(0).cast("bigint")).cast("int") - 1
 
 
-def _shown(df: DataFrame, show: tuple[str, ...] | None) -> DataFrame:
-    return df.where(F.col("genre").isin(*show)) if show is not None else df
+def _pack(score: Column) -> Column:
+    return F.shiftleft(F.round(score * 1_000_000, 0).cast("bigint"), IDX_BITS) + (F.lit((1 << IDX_BITS) - 1) - F.col("idx"))
+
+
+def _score_of(packed: Column) -> Column:
+    return F.shiftright(packed, IDX_BITS) / 1_000_000
+
+
+def _idx_of(packed: Column) -> Column:
+    return F.lit((1 << IDX_BITS) - 1) - packed.bitwiseAND(F.lit((1 << IDX_BITS) - 1))
+
+
+def _row(names: tuple[str, ...], pairs: list[tuple[str, str, float]], other: float, value: Column) -> Column:
+    """The scores of a value with all names, as an array; null for a value that is no name."""
+    known = {(a, b): w for a, b, w in pairs}
+    rows = ((F.lit(a), F.array(*(F.lit(known.get((a, b), other)) for b in names))) for a in names)
+    return F.try_element_at(F.create_map(*(x for r in rows for x in r)), value)
+
+
+def _prepared(tracks: DataFrame, show: tuple[str, ...] | None = None, played: DataFrame | None = None) -> DataFrame:
+    """What a pair needs of a track, computed once."""
+    t = tracks.where(F.col("genre").isin(*show)) if show is not None else tracks
+    t = t.select(
+        "idx",
+        "genre",
+        "bpm",
+        "stars",
+        keys.low(F.col("artist")).alias("who"),
+        harmonic.key_number(F.col("key")).alias("kn"),
+        F.substring(F.trim("key"), -1, 1).alias("kl"),
+        F.coalesce("theme", F.lit("")).alias("theme"),
+        _number(F.col("genre"), GENRES).alias("gid"),
+        _number(F.col("theme"), THEMES).alias("tid"),
+        F.when(F.col("genre").isin(*CORE_GENRES), 1.0).otherwise(0.4).alias("core"),
+    )
+    return t.join(played.select(keys.low(F.col("artist")).alias("who")).distinct(), "who", "left_anti") if played is not None else t
+
+
+def _asked(anchors: DataFrame, prefix: str) -> DataFrame:
+    """What a pair needs of an anchor: its scores for all genres and themes as arrays."""
+    g, th = F.coalesce("genre", F.lit("")), F.coalesce("theme", F.lit(""))
+    a = anchors.select(
+        F.col("idx").alias(f"{prefix}_idx"),
+        g.alias(f"{prefix}_genre"),
+        F.col("bpm").alias(f"{prefix}_bpm"),
+        keys.low(F.col("artist")).alias(f"{prefix}_who"),
+        harmonic.key_number(F.col("key")).alias(f"{prefix}_kn"),
+        F.substring(F.trim("key"), -1, 1).alias(f"{prefix}_kl"),
+        th.alias(f"{prefix}_theme"),
+        _row(GENRES, two_steps(), 0.05, g).alias(f"{prefix}_genres"),
+        _row(THEMES, theme_pairs() + [(t, "surreal", 0.5) for t in THEMES] + [("surreal", t, 0.5) for t in THEMES], 0.0, th).alias(f"{prefix}_themes"),
+    )
+    return a
+
+
+def _spread(tracks: DataFrame) -> DataFrame:
+    """Tracks over all cores: each row stands for as many pairs as there are anchors, so file splits are too coarse."""
+    return tracks.repartition(2 * tracks.sparkSession.sparkContext.defaultParallelism, "idx")
+
+
+def _bounded(anchors: DataFrame) -> DataFrame:
+    if anchors.limit(MAX_ANCHORS + 1).count() > MAX_ANCHORS:
+        raise ValueError(f"more than {MAX_ANCHORS} anchors; ask in blocks")
+    return F.broadcast(anchors)
+
+
+def _key_score(p: str) -> Column:
+    return harmonic.key_distance(F.col(f"{p}_kn"), F.col(f"{p}_kl"), F.col("kn"), F.col("kl"))
+
+
+def _genre_score(p: str) -> Column:
+    """Compatibility of the anchor's genre with the track's."""
+    mine, its = F.col(f"{p}_genre"), F.coalesce("genre", F.lit(""))
+    return F.when((mine == "") | (its == ""), 0.3).when(mine == its, 1.0).otherwise(F.coalesce(F.get(F.col(f"{p}_genres"), F.col("gid")), F.lit(0.05)))
+
+
+def _theme_score(p: str) -> Column:
+    mine, its = F.col(f"{p}_theme"), F.col("theme")
+    return F.when((mine == "") | (its == ""), 0.0).when(mine == its, 1.0).otherwise(F.coalesce(F.get(F.col(f"{p}_themes"), F.col("tid")), F.when(mine == "surreal", 0.5).otherwise(0.0)))
 
 
 def dedup_tracks(tracks: DataFrame, quality: str = "bitrate", order: str = "path") -> DataFrame:
@@ -33,93 +115,94 @@ def dedup_tracks(tracks: DataFrame, quality: str = "bitrate", order: str = "path
     return tracks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def _anchors(anchors: DataFrame, prefix: str) -> DataFrame:
-    if anchors.limit(MAX_ANCHORS + 1).count() > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors; ask in blocks")
-    a = anchors.select(*(F.col(c).alias(f"{prefix}_{c}") for c in TRACK))
-    return a.withColumn(f"{prefix}_song", keys.song_key(F.col(f"{prefix}_artist"), F.col(f"{prefix}_title")))
+def _top(best: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """The ``n`` best packed rows per group, with place, idx and score."""
+    w = Window.partitionBy(*groups).orderBy(F.desc("packed"))
+    top = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return top.withColumn("idx", _idx_of(F.col("packed"))).withColumn("score", _score_of(F.col("packed")))
 
 
 def lock(tracks: DataFrame, anchors: DataFrame, n: int = 8, show: tuple[str, ...] | None = SHOW_GENRES, played: DataFrame | None = None) -> DataFrame:
-    """For each anchor the ``n`` tracks that mix best with it, one per song and artist.
+    """For each anchor the ``n`` tracks that mix best with it, one per artist and so one per song.
 
     Result: anchor, place, path, artist, title, genre, score (0 to 1), transition.
-    Played artists, the anchor's own song and artist, and genres outside the
-    show are left out; of what remains in the list, scores of 0.1 and less go.
+    The anchor's own artist (and so its song), played artists and genres outside
+    the show are left out; of what remains in the list, scores of 0.1 and less
+    go.  Ties go to the track that comes first (idx).
     """
-    t = _shown(tracks.select(*TRACK), show).withColumn("song", keys.song_key(F.col("artist"), F.col("title")))
-    if played is not None:
-        t = t.join(played.select(_who(F.col("artist")).alias("_p")).distinct(), _who(F.col("artist")) == F.col("_p"), "left_anti")
-    both = t.join(F.broadcast(_anchors(anchors, "a")), (F.col("path") != F.col("a_path")) & (F.col("song") != F.col("a_song")) & (_who(F.col("artist")) != _who(F.col("a_artist"))))
-    same = F.coalesce(F.col("genre"), F.lit("")) == F.coalesce(F.col("a_genre"), F.lit(""))
-    genre = F.when(same, 1.0).otherwise(harmonic.genre_compat(F.col("a_genre"), F.col("genre")) * 0.5)
-    core = F.when(F.col("genre").isin(*CORE_GENRES), 1.0).otherwise(0.4)
+    pairs = _spread(_prepared(tracks, show, played)).join(_bounded(_asked(anchors, "a")), F.col("who") != F.col("a_who"))
+    same = F.coalesce("genre", F.lit("")) == F.col("a_genre")
     score = (
         0.33 * harmonic.bpm_compat(F.col("a_bpm"), F.col("bpm"))
-        + 0.28 * harmonic.key_compat(F.col("a_key"), F.col("key"))
-        + 0.17 * genre
+        + 0.28 * _key_score("a")
+        + 0.17 * F.when(same, 1.0).otherwise(_genre_score("a") * 0.5)
         + 0.10 * (F.col("stars") / 5.0)
-        + 0.07 * core
-        + 0.05 * harmonic.theme_compat(F.col("a_theme"), F.col("theme"))
+        + 0.07 * F.col("core")
+        + 0.05 * _theme_score("a")
     )
-    scored = both.withColumn("score", F.round(score, 6)).withColumn("who", _who(F.col("artist")))
-    # One row per song first: the best score, then the first path.
-    w = Window.partitionBy("a_path", "song").orderBy(F.desc("score"), "path")
-    scored = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    top = diverse_top(scored, ["a_path"], ["who"], "score", ["path"], n, 0.1)
+    best = pairs.groupBy("a_idx", "who").agg(F.max(_pack(score)).alias("packed"))
+    top = _top(best, ["a_idx"], n).where(F.col("score") > 0.1)
+    t = tracks.select("idx", "path", "artist", "title", "genre", "bpm", "key")
+    a = anchors.select(F.col("idx").alias("a_idx"), F.col("path").alias("anchor"), *(F.col(c).alias(f"a_{c}") for c in ("bpm", "key", "genre")))
     named = harmonic.transition(F.col("a_bpm"), F.col("a_key"), F.col("a_genre"), F.col("bpm"), F.col("key"), F.col("genre"))
-    return top.select(F.col("a_path").alias("anchor"), "place", "path", "artist", "title", "genre", "score", named.alias("transition"))
+    return top.join(t, "idx").join(a, "a_idx").select("anchor", "place", "path", "artist", "title", "genre", "score", named.alias("transition"))
 
 
 def destinations(anchors: DataFrame, genres: DataFrame, show: tuple[str, ...] | None = SHOW_GENRES) -> DataFrame:
-    """(anchor, destination): the anchor's neighbour genres within the show, else up to eight others by name."""
+    """(a_idx, destination): the anchor's neighbour genres within the show, else up to eight others by name."""
     allowed = show if show is not None else CORE_GENRES
     near = [(g, d) for g, ds in NEIGHBOURS.items() for d in ds if d in allowed]
-    pairs = anchors.sparkSession.createDataFrame(near, "genre string, destination string")
-    first = anchors.select(F.col("path").alias("anchor"), "genre").join(F.broadcast(pairs), "genre")
-    rest = anchors.select(F.col("path").alias("anchor"), "genre").join(first.select("anchor").distinct(), "anchor", "left_anti")
+    pairs = anchors.sparkSession.createDataFrame(near, "a_genre string, destination string")
+    first = anchors.join(F.broadcast(pairs), "a_genre").select("a_idx", "destination")
+    rest = anchors.join(first.select("a_idx").distinct(), "a_idx", "left_anti")
     others = F.broadcast(genres.where(F.col("genre").isin(*allowed)).select(F.col("genre").alias("destination")).distinct())
-    w = Window.partitionBy("anchor").orderBy("destination")
-    more = rest.join(others, ~F.coalesce(F.col("genre"), F.lit("")).eqNullSafe(F.col("destination"))).withColumn("_r", F.row_number().over(w)).where("_r <= 8")
-    return first.select("anchor", "destination").unionByName(more.select("anchor", "destination"))
+    w = Window.partitionBy("a_idx").orderBy("destination")
+    more = rest.join(others, F.col("a_genre") != F.col("destination")).withColumn("_r", F.row_number().over(w)).where("_r <= 8")
+    return first.unionByName(more.select("a_idx", "destination"))
 
 
 def bridge(tracks: DataFrame, pairs: DataFrame, n: int = 3, show: tuple[str, ...] | None = SHOW_GENRES, played: DataFrame | None = None) -> DataFrame:
-    """For each (anchor, second) pair of track structs and each destination genre up to ``n`` tracks that lead there.
+    """For each (anchor, second) pair and each destination genre up to ``n`` tracks that lead there.
 
     ``pairs`` has the columns of two tracks, prefixed a_ and s_.  Result:
-    anchor, destination, group_place, place, path, score, transition.
+    anchor, destination, group_place, place, path, score, transition.  Only the
+    last step towards the destination depends on it, and only through the
+    track's genre; so the best track of each artist and genre is found first,
+    and the destinations are joined to these.
     """
-    dest = destinations(pairs.select(F.col("a_path").alias("path"), F.col("a_genre").alias("genre")), tracks.select("genre"), show).withColumnRenamed("anchor", "a_path")
-    ask = pairs.join(dest, "a_path")
-    for p in ("a", "s"):
-        ask = ask.withColumn(f"{p}_song", keys.song_key(F.col(f"{p}_artist"), F.col(f"{p}_title")))
-    t = _shown(tracks.select(*TRACK), show).withColumn("song", keys.song_key(F.col("artist"), F.col("title"))).withColumn("who", _who(F.col("artist")))
-    if played is not None:
-        t = t.join(played.select(_who(F.col("artist")).alias("_p")).distinct(), F.col("who") == F.col("_p"), "left_anti")
-    apart = (F.col("path") != F.col("a_path")) & (F.col("path") != F.col("s_path")) & (F.col("song") != F.col("a_song")) & (F.col("song") != F.col("s_song")) & (F.col("who") != _who(F.col("a_artist"))) & (F.col("who") != _who(F.col("s_artist")))
-    both = t.join(F.broadcast(ask), apart)
+    two = [pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in TRACK), F.col("a_idx").alias("of")) for p in ("a", "s")]
+    a, s = _asked(two[0], "a"), _asked(two[1].withColumn("bpm", F.col("bpm")), "s").drop("s_genres", "s_themes")
+    ask = pairs.select("a_idx", "s_idx").join(a, "a_idx").join(s.dropDuplicates(["s_idx"]), "s_idx")
+    scored = _spread(_prepared(tracks, show, played)).join(_bounded(ask), (F.col("who") != F.col("a_who")) & (F.col("who") != F.col("s_who")))
+    mix = 0.5 * harmonic.bpm_compat(F.col("s_bpm"), F.col("bpm")) + 0.5 * _key_score("s")
+    base = 0.47 * mix + 0.10 * F.col("core") + 0.05 * _theme_score("a")
+    best = scored.groupBy("a_idx", "s_idx", "who", "genre").agg(F.max(_pack(base)).alias("packed"))
+    dest = destinations(pairs.select("a_idx", "a_genre"), tracks.select("genre"), show)
     leads = F.when(F.col("genre") == F.col("destination"), 1.0).when(harmonic.genre_compat(F.col("genre"), F.col("destination")) == 0.6, 0.5).otherwise(0.0)
-    mix = 0.5 * harmonic.bpm_compat(F.col("s_bpm"), F.col("bpm")) + 0.5 * harmonic.key_compat(F.col("s_key"), F.col("key"))
-    core = F.when(F.col("genre").isin(*CORE_GENRES), 1.0).otherwise(0.4)
-    score = 0.47 * mix + 0.38 * leads + 0.10 * core + 0.05 * harmonic.theme_compat(F.col("a_theme"), F.col("theme"))
-    scored = both.withColumn("score", F.round(score, 6))
-    w = Window.partitionBy("a_path", "destination", "song").orderBy(F.desc("score"), "path")
-    scored = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    top = diverse_top(scored, ["a_path", "destination"], ["who"], "score", ["path"], n, 0.25, least_first=True)
-    best = F.max(F.bround(F.col("score") * 100, 0)).over(Window.partitionBy("a_path", "destination"))
-    placed = top.withColumn("_best", best).withColumn("group_place", F.dense_rank().over(Window.partitionBy("a_path").orderBy(F.desc("_best"), "destination")))
+    lead = F.shiftleft(F.round(0.38 * leads * 1_000_000, 0).cast("bigint"), IDX_BITS)
+    led = best.join(F.broadcast(dest), "a_idx").withColumn("packed", F.col("packed") + lead).where(_score_of(F.col("packed")) > 0.25)
+    one = led.groupBy("a_idx", "s_idx", "destination", "who").agg(F.max("packed").alias("packed"))
+    top = _top(one, ["a_idx", "destination"], n)
+    first = F.max(F.bround(F.col("score") * 100, 0)).over(Window.partitionBy("a_idx", "destination"))
+    placed = top.withColumn("_best", first).withColumn("group_place", F.dense_rank().over(Window.partitionBy("a_idx").orderBy(F.desc("_best"), "destination")))
+    t = tracks.select("idx", "path", "genre", "bpm", "key")
+    q = pairs.select("a_idx", F.col("a_path").alias("anchor"), *(f"s_{c}" for c in ("bpm", "key", "genre")))
     named = harmonic.transition(F.col("s_bpm"), F.col("s_key"), F.col("s_genre"), F.col("bpm"), F.col("key"), F.col("genre"))
-    return placed.select(F.col("a_path").alias("anchor"), "destination", "group_place", "place", "path", "score", named.alias("transition"))
+    return placed.join(t, "idx").join(q, "a_idx").select("anchor", "destination", "group_place", "place", "path", "score", named.alias("transition"))
 
 
 def rescue(tracks: DataFrame, anchors: DataFrame, n: int = 5, least_stars: int = 3) -> DataFrame:
-    """For each anchor the highest rated tracks near it in tempo and genre: anchor, place, path, score."""
-    t = tracks.select(*TRACK).where(F.col("stars") >= least_stars)
-    both = t.join(F.broadcast(_anchors(anchors, "a")))
-    score = 0.4 * F.col("stars") / 5.0 + 0.35 * harmonic.bpm_compat(F.col("a_bpm"), F.col("bpm")) + 0.25 * harmonic.genre_compat(F.col("a_genre"), F.col("genre"))
-    w = Window.partitionBy("a_path").orderBy(F.desc("score"), "path")
-    return both.withColumn("score", F.round(score, 6)).where("score > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(F.col("a_path").alias("anchor"), "place", "path", "score")
+    """For each anchor the highest rated tracks near it in tempo and genre: anchor, place, path, score.
+
+    Tracks of equal stars, tempo and genre score alike, so the first ``n`` of
+    each such group are enough.
+    """
+    w = Window.partitionBy("stars", "bpm", "genre").orderBy("idx")
+    few = _prepared(tracks.where(F.col("stars") >= least_stars)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    pairs = _spread(few).join(_bounded(_asked(anchors, "a")))
+    score = 0.4 * F.col("stars") / 5.0 + 0.35 * harmonic.bpm_compat(F.col("a_bpm"), F.col("bpm")) + 0.25 * _genre_score("a")
+    top = _top(pairs.select("a_idx", _pack(score).alias("packed")), ["a_idx"], n).where("score > 0")
+    return top.join(tracks.select("idx", "path"), "idx").join(anchors.select(F.col("idx").alias("a_idx"), F.col("path").alias("anchor")), "a_idx").select("anchor", "place", "path", "score")
 
 
 def surprise(tracks: DataFrame, played: DataFrame, n: int = 20, least_stars: int = 3, spread: float = 0.15, seed: int = 0) -> DataFrame:

@@ -82,15 +82,15 @@ CORE_SQL = f"CASE WHEN t.genre IN ({_strings(CORE_GENRES)}) THEN 1.0 ELSE 0.4 EN
 _LOCK = f"""
 WITH {TRACKS_SQL}, {PAIRS_SQL},
 s AS (
-  SELECT a.path AS anchor, a.bpm AS abpm, t.path, t.artist, t.title, t.genre, t.song, {transition_sql("a", "t", key_sql("a", "t"))} AS transition,
+  SELECT a.path AS anchor, a.bpm AS abpm, t.path, t.idx, t.artist, t.title, t.genre, t.song, {transition_sql("a", "t", key_sql("a", "t"))} AS transition,
     round(CAST(0.33 AS DOUBLE) * {bpm_sql("a.bpm", "t.bpm")} + CAST(0.28 AS DOUBLE) * {key_sql("a", "t")} + CAST(0.17 AS DOUBLE) * CASE WHEN a.genre = t.genre THEN 1.0 ELSE coalesce(gp.w, 0.05) * 0.5 END::DOUBLE
       + CAST(0.10 AS DOUBLE) * (t.stars / 5.0) + CAST(0.07 AS DOUBLE) * {CORE_SQL}::DOUBLE + CAST(0.05 AS DOUBLE) * ({THEME_SQL})::DOUBLE, 6) AS score
   FROM tracks a JOIN tracks t ON a.idx % 20 = 0 AND a.path <> t.path AND a.song <> t.song AND a.artist <> t.artist
   LEFT JOIN gp ON gp.g1 = a.genre AND gp.g2 = t.genre LEFT JOIN tp ON tp.t1 = a.theme AND tp.t2 = t.theme
   WHERE t.genre IN ({_strings(SHOW_GENRES)})),
-o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY anchor, song ORDER BY score DESC, path) = 1),
-w AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY anchor, artist ORDER BY score DESC, path) = 1),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, path) AS INTEGER) AS place FROM w)
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY anchor, song ORDER BY score DESC, idx) = 1),
+w AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY anchor, artist ORDER BY score DESC, idx) = 1),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, idx) AS INTEGER) AS place FROM w)
 SELECT anchor, place, path, artist, title, genre, score, transition FROM p WHERE place <= 8 AND score > 0.1
 """
 
@@ -111,7 +111,7 @@ dest AS (
   UNION ALL
   SELECT anchor, d FROM (SELECT pair.path AS anchor, gs.genre AS d, row_number() OVER (PARTITION BY pair.path ORDER BY gs.genre) AS r FROM pair JOIN gs ON gs.genre <> pair.genre WHERE pair.genre NOT IN (SELECT g FROM near)) WHERE r <= 8),
 s AS (
-  SELECT a.path AS anchor, dest.d AS destination, t.path, t.song, t.artist,
+  SELECT a.path AS anchor, dest.d AS destination, t.path, t.idx, t.song, t.artist,
     {transition_sql("b", "t", key_sql("b", "t"))} AS transition,
     round(CAST(0.47 AS DOUBLE) * (CAST(0.5 AS DOUBLE) * {bpm_sql("a.s_bpm", "t.bpm")} + CAST(0.5 AS DOUBLE) * {key_sql("b", "t")}) + CAST(0.38 AS DOUBLE) * CASE WHEN t.genre = dest.d THEN 1.0 WHEN gp.w = 0.6 THEN 0.5 ELSE 0.0 END::DOUBLE
       + CAST(0.10 AS DOUBLE) * {CORE_SQL}::DOUBLE + CAST(0.05 AS DOUBLE) * ({THEME_SQL})::DOUBLE, 6) AS score
@@ -119,10 +119,10 @@ s AS (
   JOIN tracks t ON t.path <> a.path AND t.path <> a.s_path AND t.song <> a.song AND t.song <> a.s_song AND t.artist <> a.artist AND t.artist <> a.s_artist
   LEFT JOIN gp ON gp.g1 = t.genre AND gp.g2 = dest.d LEFT JOIN tp ON tp.t1 = a.theme AND tp.t2 = t.theme
   WHERE t.genre IN ({_strings(SHOW_GENRES)})),
-o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY anchor, destination, song ORDER BY score DESC, path) = 1),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY anchor, destination, song ORDER BY score DESC, idx) = 1),
 f AS (SELECT * FROM o WHERE score > 0.25),
-w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY anchor, destination, artist ORDER BY score DESC, path) = 1),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor, destination ORDER BY score DESC, path) AS INTEGER) AS place FROM w),
+w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY anchor, destination, artist ORDER BY score DESC, idx) = 1),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor, destination ORDER BY score DESC, idx) AS INTEGER) AS place FROM w),
 q AS (SELECT *, max(round_even(score * 100, 0)) OVER (PARTITION BY anchor, destination) AS best FROM p WHERE place <= 3)
 SELECT anchor, destination, CAST(dense_rank() OVER (PARTITION BY anchor ORDER BY best DESC, destination) AS INTEGER) AS group_place, place, path, score, transition FROM q
 """
@@ -131,16 +131,16 @@ SELECT anchor, destination, CAST(dense_rank() OVER (PARTITION BY anchor ORDER BY
 @query(_BRIDGE)
 def suggest_bridge(spark: SparkSession, d: str) -> DataFrame:
     t = part_tracks(spark, d)
-    a = anchors(t).select("idx", *(F.col(c).alias(f"a_{c}") for c in suggest.TRACK))
-    s = t.select((F.col("idx") - 7).alias("idx"), *(F.col(c).alias(f"s_{c}") for c in suggest.TRACK))
-    return suggest.bridge(t, a.join(s, "idx"))
+    a = anchors(t).select(*(F.col(c).alias(f"a_{c}") for c in suggest.TRACK))
+    s = t.select(*(F.col(c).alias(f"s_{c}") for c in suggest.TRACK))
+    return suggest.bridge(t, a.join(s, F.col("s_idx") == F.col("a_idx") + 7))
 
 
 @query(f"""
 WITH {TRACKS_SQL}, {PAIRS_SQL},
-s AS (SELECT a.path AS anchor, t.path, round(0.4::DOUBLE * t.stars / 5.0::DOUBLE + 0.35::DOUBLE * {bpm_sql("a.bpm", "t.bpm")} + 0.25::DOUBLE * CASE WHEN a.genre = t.genre THEN 1.0 ELSE coalesce(gp.w, 0.05) END::DOUBLE, 6) AS score
+s AS (SELECT a.path AS anchor, t.path, t.idx, round(0.4::DOUBLE * t.stars / 5.0::DOUBLE + 0.35::DOUBLE * {bpm_sql("a.bpm", "t.bpm")} + 0.25::DOUBLE * CASE WHEN a.genre = t.genre THEN 1.0 ELSE coalesce(gp.w, 0.05) END::DOUBLE, 6) AS score
   FROM tracks a JOIN tracks t ON a.idx % 20 = 0 LEFT JOIN gp ON gp.g1 = a.genre AND gp.g2 = t.genre WHERE t.stars >= 3),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, path) AS INTEGER) AS place FROM s WHERE score > 0)
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, idx) AS INTEGER) AS place FROM s WHERE score > 0)
 SELECT anchor, place, path, score FROM p WHERE place <= 5
 """)
 def rescue_topk(spark: SparkSession, d: str) -> DataFrame:
