@@ -41,9 +41,12 @@ OTHER_NAMES = {
     "indie rock": ("indie",),
     "spoken word": ("spoken",),
     "bossa nova": ("bossa",),
+    "italo disco": ("italo",),
+    "krautrock": ("kraut",),
+    "techno": ("minimal techno",),
     "folk": ("folklore",),
     "synthpop": ("synth pop", "electropop"),
-    "chamber music": ("kammermusik", "musica da camera", "musique de chambre"),
+    "chamber music": ("chamber", "kammermusik", "musica da camera", "musique de chambre"),
 }
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -123,7 +126,8 @@ class Dictionary:
             self.uses[ident] = uses
             for form in {name, *others, *OTHER_NAMES.get(plain(name), ())}:
                 p = plain(form)
-                for key in {squeezed(p), squeezed(re.sub(r"\band\b", "n", p))} - {""}:
+                words = p.split(" ", 1)
+                for key in {squeezed(p), squeezed(re.sub(r"\band\b", "n", p)), squeezed("".join(reversed(words)))} - {""}:
                     self.names.setdefault(key, []).append(ident)
         for key in self.names:
             for cut in deletions(key, allowed_edits(len(key), max_edits)):
@@ -139,7 +143,7 @@ class Dictionary:
             return best
         for key in {k for cut in self.index.keys() & deletions(word, edits) for k in self.index[cut]}:
             # A slip inside a swapped pair costs three light edits; long names bear it.
-            limit = max(edits, allowed_edits(len(key), self.max_edits)) + (0.8 if len(key) >= 9 else 0.0)
+            limit = max(edits, allowed_edits(len(key), self.max_edits)) + (1.0 if len(key) >= 8 else 0.0)
             d = weighted_distance(word, key, limit)
             if d <= limit:
                 best = min(best, *((d, -self.uses[i], i) for i in self.names[key]))
