@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewright.functions import keys, paths
-from cratewright.operators import changes, dedup, joins, normalize, rank
+from cratewright.operators import changes, dedup, joins, normalize, rank, stages
 from cratewright.plans.registry import query
+from cratewright.plans.text_queries import LIVE_SQL
 from cratewright.sources.files import size_class
 from cratewright.session import table
 
@@ -436,3 +437,39 @@ def field_changes(spark: SparkSession, d: str) -> DataFrame:
     before = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name")
     after = before.withColumn("c_mktsegment", F.concat(F.upper(F.substring("c_mktsegment", 1, 1)), F.lower(F.substring("c_mktsegment", 2, 100))))
     return changes.change_set(before, after, "c_custkey", ["c_mktsegment", "c_name"])
+
+
+# ---- stages
+
+
+@query(f"""
+WITH {_PATHS}, r AS (SELECT p.entry_id, p.path, n.title, CASE WHEN regexp_full_match(n.playtime, '\\d+') THEN try_cast(n.playtime AS INTEGER) END AS s FROM p JOIN nml_entry n USING (entry_id))
+SELECT entry_id, CASE WHEN coalesce(trim(path), '') IN ('', '/') THEN 'no place' WHEN s < 30 THEN 'short' WHEN s > 450 THEN 'long' WHEN regexp_matches(title, '{LIVE_SQL}') THEN 'live' END AS reason FROM r
+""")
+def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    e = entry_paths(spark, d).withColumn("seconds", F.when(c("playtime").rlike(r"^\d+$"), c("playtime").try_cast("int")))
+    return stages.drop_reasons(e, 30, 450).select("entry_id", "reason")
+
+
+@query("""
+WITH n AS (SELECT 'entries' AS name, count(*) AS n FROM nml_entry UNION ALL SELECT 'credits', count(*) FROM artist_credit UNION ALL SELECT 'lyrics', count(*) FROM lyrics_raw)
+SELECT * FROM n UNION ALL SELECT 'without_lyrics', greatest(0, (SELECT n FROM n WHERE name = 'entries') - (SELECT n FROM n WHERE name = 'lyrics')) UNION ALL SELECT 'credits_over', greatest(0, (SELECT n FROM n WHERE name = 'credits') - (SELECT n FROM n WHERE name = 'entries'))
+""")
+def baseline_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    t = {k: table(spark, d, v) for k, v in (("entries", "nml_entry"), ("credits", "artist_credit"), ("lyrics", "lyrics_raw"))}
+    return stages.snapshot(t, {"without_lyrics": ("entries", "lyrics"), "credits_over": ("credits", "entries")})
+
+
+@query(f"""
+WITH {_PATHS}, s AS (SELECT group_id, entry_id, min(sha) AS sha FROM dedup_member WHERE group_id IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT p.entry_id AS entry_idx, p.path, s.sha, CAST(len(n.cues) AS INTEGER) AS richness, CASE WHEN starts_with(p.path, '/crates/main/') THEN '/music' || substring(p.path, 13) END AS mapped FROM p JOIN nml_entry n USING (entry_id) LEFT JOIN s USING (entry_id)),
+y AS (SELECT *, CASE WHEN mapped IS NOT NULL THEN 'remap' WHEN starts_with(path, '/crates/inbox/') THEN 'keep' ELSE 'drop' END AS outcome FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY coalesce(sha, 'entry ' || CAST(entry_idx AS VARCHAR)) ORDER BY richness DESC, entry_idx) AS rn FROM y WHERE outcome <> 'drop')
+SELECT entry_idx, CASE WHEN rn = 1 THEN outcome ELSE 'merged' END AS outcome FROM z UNION ALL SELECT entry_idx, outcome FROM y WHERE outcome = 'drop'
+""")
+def rebuild_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    sha = table(spark, d, "dedup_member").where("group_id is not null").groupBy("group_id", "entry_id").agg(F.min("sha").alias("sha")).select("entry_id", "sha")
+    e = entry_paths(spark, d).join(sha, "entry_id", "left").select(c("entry_id").alias("entry_idx"), "path", "sha", F.size("cues").alias("richness"))
+    m = e.where("path like '/crates/main/%'").select(c("path").alias("old_path")).distinct().withColumn("new_path", F.concat(F.lit("/music"), F.substring("old_path", 13, 1 << 30)))
+    refs = spark.createDataFrame([], "playlist string, pos int, path string")
+    return stages.rebuild(e, m, ["/crates/inbox"], refs)[2]

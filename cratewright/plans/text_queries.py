@@ -32,11 +32,11 @@ def reason_cascade(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_id", text.not_a_song(stem, seconds, F.coalesce("title", F.lit(""))).alias("reason"))
 
 
-_LIVE = "(?i)(\\(live\\b|\\[live\\b|\\blive\\s+at\\b|\\blive\\s+in\\b|\\blive\\s+from\\b|\\blive\\s*-|-\\s*live\\b|\\(unplugged\\b|\\[unplugged\\b|\\bunplugged\\s+version\\b|\\bbbc\\s+(?:radio|session)\\b|\\blive\\s+audio\\b|\\blive\\s+recording\\b|\\blive\\s+version\\b|\\blive\\s+session\\b|\\blive\\s+performance\\b)"
+LIVE_SQL = "(?i)(\\(live\\b|\\[live\\b|\\blive\\s+at\\b|\\blive\\s+in\\b|\\blive\\s+from\\b|\\blive\\s*-|-\\s*live\\b|\\(unplugged\\b|\\[unplugged\\b|\\bunplugged\\s+version\\b|\\bbbc\\s+(?:radio|session)\\b|\\blive\\s+audio\\b|\\blive\\s+recording\\b|\\blive\\s+version\\b|\\blive\\s+session\\b|\\blive\\s+performance\\b)"
 
 
 @query(f"""
-SELECT entry_id, coalesce(regexp_matches(title, '{_LIVE}'), false) AS live, regexp_matches(coalesce(title, ''), '(?i)\\b(instrumental|inst\\.?|no[ -]?vocals?|karaoke|ambient\\s+mix|dub\\s+mix)\\b') AS instrumental,
+SELECT entry_id, coalesce(regexp_matches(title, '{LIVE_SQL}'), false) AS live, regexp_matches(coalesce(title, ''), '(?i)\\b(instrumental|inst\\.?|no[ -]?vocals?|karaoke|ambient\\s+mix|dub\\s+mix)\\b') AS instrumental,
   coalesce(title, '') = '' OR regexp_matches(title, '(?i)^(track\\s*\\d+|unknown|untitled|track)$') OR coalesce(artist, '') = '' OR regexp_matches(artist, '(?i)^artist$') AS placeholder FROM nml_entry
 """)
 def flag_predicate(spark: SparkSession, d: str) -> DataFrame:
