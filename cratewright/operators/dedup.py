@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cratewright.functions import paths
 from cratewright.functions.lookups import FORMAT_RANK
 from cratewright.operators.graph import components
+from cratewright.session import cut
 
 
 def format_rank(path: Column) -> Column:
@@ -37,11 +38,10 @@ def losers(df: DataFrame, keys: list[Column | str], order: list[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
 
 
-def winner_with_losers(df: DataFrame, keys: list[str], order: list[Column], ident: str) -> DataFrame:
-    """Per group the winning id and the sorted ids of the others."""
+def winners_of_losers(df: DataFrame, keys: list[str], order: list[Column], ident: str) -> DataFrame:
+    """(keys, winner, loser): a row for each row but the first of its group; lists of any length stay rows."""
     best = keep_best(df, keys, order).select(*keys, F.col(ident).alias("winner"))
-    rest = df.join(best, keys).where(F.col(ident) != F.col("winner")).groupBy(*keys).agg(F.sort_array(F.collect_list(ident)).alias("losers"))
-    return best.join(rest, keys, "left").withColumn("losers", F.coalesce("losers", F.array().cast(dict(df.dtypes)[ident].join(["array<", ">"]))))
+    return df.select(*keys, F.col(ident).alias("loser")).join(best, keys).where("loser <> winner").select(*keys, "winner", "loser")
 
 
 def band_pairs(df: DataFrame, keys: list[str], ident: str, bands: dict[str, float], hint: str | None = None) -> DataFrame:
@@ -73,13 +73,14 @@ def bucket_dedup(df: DataFrame, keys: list[str], value: str, step: float, order:
     return keep_best(df.withColumn("bucket", F.bround(F.col(value) / step, 0) * step), [*keys, "bucket"], order)
 
 
+SMALL_COMPONENT = 50_000  # pairs that one task may hold
+
+
 def greedy_stars(df: DataFrame, keys: list[str], ident: str, size: str, seconds: str, artist: str, ratio: float = 0.01, most: float = 2.0) -> DataFrame:
     """(star, member): in order of id, each free row takes all later free rows that match it.
 
     A match: sizes differ by less than ``ratio`` of the larger, times by at most
-    ``most`` seconds, artists equal or one blank.  The order decides, so rows
-    that can match at all are first split into independent components; only
-    these are handled in Python, one at a time.
+    ``most`` seconds, artists equal or one blank.
     """
     cols = [*keys, ident, size, seconds, artist]
     rows = df.select(*cols)
@@ -90,34 +91,72 @@ def greedy_stars(df: DataFrame, keys: list[str], ident: str, size: str, seconds:
     same = (F.col(f"a.{artist}") == F.col(f"b.{artist}")) | (F.col(f"a.{artist}") == "") | (F.col(f"b.{artist}") == "")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_b"]]
     pairs = a.join(b, [*on, F.col(f"a.{ident}") < F.col(f"b.{ident}"), F.abs(x - y) < ratio * F.greatest(x, y), F.abs(F.col(f"a.{seconds}") - F.col(f"b.{seconds}")) <= most, same])
-    pairs = pairs.select(F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"))
-    of = clusters(pairs).withColumnRenamed("node", "a")
+    return first_stars(pairs.select(F.col(f"a.{ident}").cast("bigint").alias("a"), F.col(f"b.{ident}").cast("bigint").alias("b")))
+
 
-    def stars(pdf):
+def first_stars(pairs: DataFrame, small: int = SMALL_COMPONENT) -> DataFrame:
+    """(star, member) of pairs (a, b), a < b: a row is a star unless an earlier star matches it; a member goes to its first star.
+
+    Components of up to ``small`` pairs are settled each in one task.  Larger
+    ones are settled in rounds over all rows: a row with no open earlier match
+    is a star, rows matched by a star are taken, and both leave.
+    """
+    pairs = cut(pairs.distinct())
+    of = clusters(pairs).select(F.col("node").alias("a"), "component")
+    tagged = pairs.join(of, "a")
+    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    tagged = tagged.join(sizes, "component")
+
+    def settle(pdf):
         import pandas as pd
 
-        taken, out = {}, []
         near = pdf.groupby("a")["b"].apply(list).to_dict()
+        taken: set[int] = set()
+        stars = []
         for n in sorted(near):
-            if n in taken:
-                continue
-            for m in sorted(near[n]):
-                if m not in taken and m not in {s for s, _ in out}:
-                    taken[m] = n
-                    out.append((n, m))
-        return pd.DataFrame(out, columns=["star", "member"])
-
-    return pairs.join(of, "a").groupBy("component").applyInPandas(stars, "star bigint, member bigint")
+            if n not in taken:
+                stars.append(n)
+                taken.update(near[n])
+        return pd.DataFrame({"star": stars}, dtype="int64")
+
+    stars = tagged.where(F.col("n") <= small).groupBy("component").applyInPandas(settle, "star bigint")
+    live = cut(tagged.where(F.col("n") > small).select("a", "b"))
+    while not live.isEmpty():
+        roots = cut(live.select("a").distinct().join(live.select(F.col("b").alias("a")), "a", "left_anti"))
+        stars = stars.unionByName(roots.select(F.col("a").alias("star")))
+        gone = cut(roots.unionByName(live.join(roots, "a", "left_semi").select(F.col("b").alias("a"))).distinct())
+        live = cut(live.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+    # A member's first star; stars are no members.
+    of_star = pairs.join(stars.select(F.col("star").alias("a")), "a").groupBy("b").agg(F.min("a").alias("star"))
+    return of_star.join(stars.select(F.col("star").alias("b")), "b", "left_anti").select("star", F.col("b").alias("member"))
 
 
 def fuzzy_pairs(names: DataFrame, name: str, count: str, most: int) -> DataFrame:
-    """Pairs of names with one first word within ``most`` edits: (rare, frequent, distance)."""
-    rows = names.select(F.col(name).alias("x"), F.col(count).alias("n"), F.split(F.lower(F.col(name)), " ")[0].alias("block")).where("block <> ''")
-    a, b = rows.alias("a"), rows.alias("b")
-    d = F.levenshtein(F.lower("a.x"), F.lower("b.x"), most)
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.x") < F.col("b.x")) & (F.abs(F.length("a.x") - F.length("b.x")) <= most)).withColumn("d", d).where("d >= 1")
-    first = F.col("a.n") >= F.col("b.n")
-    return pairs.select(F.when(first, F.col("b.x")).otherwise(F.col("a.x")).alias("rare"), F.when(first, F.col("a.x")).otherwise(F.col("b.x")).alias("frequent"), F.col("d").alias("distance"))
+    """Pairs of names with one first word within ``most`` edits: (rare, frequent, distance).
+
+    Of two names within k edits, one of the k + 1 parts of the shorter one stands
+    unchanged in the other, shifted by at most k signs.  Names are joined on
+    these parts, so a first word that very many names share ("the") makes no
+    block of its own.
+    """
+    low = F.lower(F.col(name))
+    rows = names.select(F.col(name).alias("x"), F.col(count).alias("n"), low.alias("l"), F.length(low).alias("len"), F.split(low, " ")[0].alias("block")).where("block <> ''")
+    start = lambda size, i: F.floor(size * i / (most + 1)).cast("int")
+
+    def part(size: Column, i: int, shift: int) -> Column:
+        a, b = start(size, i), start(size, i + 1)
+        inside = (a + shift >= 0) & (b + shift <= F.col("len")) & (size >= 1)
+        return F.when(inside, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substring(F.col("l"), a + shift + 1, b - a).alias("part")))
+
+    own = F.array(*(part(F.col("len"), i, 0) for i in range(most + 1)))
+    other = F.array_distinct(F.array_compact(F.array(*(part(F.col("len") - less, i, s) for less in range(most + 1) for i in range(most + 1) for s in range(-most, most + 1)))))
+    short = rows.select("block", F.inline(own), F.struct("x", "n", "l", "len").alias("a"))
+    long = rows.select("block", F.inline(other), F.struct("x", "n", "l", "len").alias("b"))
+    pairs = short.join(long, ["block", "size", "i", "part"]).where((F.col("a.x") < F.col("b.x")) | ((F.col("a.len") < F.col("b.len")) & (F.col("a.x") != F.col("b.x"))))
+    near = pairs.withColumn("d", F.levenshtein(F.col("a.l"), F.col("b.l"), most)).where("d >= 1").select("a", "b", "d")
+    ordered = near.select(F.when(F.col("a.x") < F.col("b.x"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.x") < F.col("b.x"), F.col("b")).otherwise(F.col("a")).alias("b"), "d").distinct()
+    frequent = F.col("a.n") >= F.col("b.n")
+    return ordered.select(F.when(frequent, F.col("b.x")).otherwise(F.col("a.x")).alias("rare"), F.when(frequent, F.col("a.x")).otherwise(F.col("b.x")).alias("frequent"), F.col("d").alias("distance"))
 
 
 def numbered_names(df: DataFrame, base: Column, order: list[Column], taken: DataFrame | None = None, suffix: str = "") -> DataFrame:

@@ -35,7 +35,7 @@ def rebuild(entries: DataFrame, path_map: DataFrame, keep_roots: list[str], refs
 
 
 def merge_by_name(groups: DataFrame) -> DataFrame:
-    """Content groups of one song merged: (key, sha, winner, losers).
+    """Content groups of one song merged: (key, sha, winner, loser), loser null where there is none.
 
     groups: (sha, winner, losers, artist, title, richness, bitrate).  The group
     with the richest, best formatted, most detailed winner outside a backup
@@ -48,8 +48,8 @@ def merge_by_name(groups: DataFrame) -> DataFrame:
     order = [F.desc("richness"), F.desc(dedup.format_rank(F.col("winner"))), F.desc("bitrate"), F.desc(dedup.not_backup(F.col("winner"))), F.length("winner"), F.asc("sha")]
     best = dedup.keep_best(rows, ["key"], order).select("key", "sha", "winner")
     members = rows.select("key", F.explode(F.concat(F.array("winner"), F.coalesce("losers", F.array().cast("array<string>")))).alias("path"))
-    others = members.join(best.select("key", "winner"), "key").where("path <> winner").groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("losers"))
-    return best.join(others, "key", "left").withColumn("losers", F.coalesce("losers", F.array().cast("array<string>")))
+    others = members.join(best.select("key", "winner"), "key").where("path <> winner").select("key", F.col("path").alias("loser")).distinct()
+    return best.join(others, "key", "left")
 
 
 def merge_by_tolerance(tracks: DataFrame, seconds: float = 1.0, bpm: float = 0.5) -> DataFrame:

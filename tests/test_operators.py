@@ -32,8 +32,7 @@ def test_keep_best_and_losers(spark):
     order = [F.desc("q"), F.asc("id")]
     assert rows(dedup.keep_best(df, ["k"], order), "id") == [(1,), (4,), (6,)]
     assert rows(dedup.losers(df, ["k"], order), "id") == [(2,), (3,), (5,)]
-    got = {r.k: (r.winner, r.losers) for r in dedup.winner_with_losers(df.where("k is not null"), ["k"], order, "id").collect()}
-    assert got == {"a": (1, [2, 3]), "b": (4, [])}
+    assert rows(dedup.winners_of_losers(df.where("k is not null"), ["k"], order, "id")) == [("a", 1, 2), ("a", 1, 3)]
 
 
 def test_greedy_stars_is_not_transitive(spark):
@@ -41,6 +40,50 @@ def test_greedy_stars_is_not_transitive(spark):
     assert rows(dedup.greedy_stars(df, ["k"], "id", "size", "sec", "artist")) == [(1, 2)]
 
 
+def brute_stars(pairs):
+    near, taken, out = {}, set(), []
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    for n in sorted(near):
+        if n not in taken:
+            for m in sorted(near[n]):
+                if m not in taken:
+                    taken.add(m)
+                    out.append((n, m))
+    return sorted(out)
+
+
+def test_first_stars_in_tasks_and_in_rounds(spark):
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)} | {(i, i + 1) for i in range(100, 112)})
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for small in (10_000, 0):
+        assert rows(dedup.first_stars(df, small)) == brute_stars(pairs)
+
+
+def test_fuzzy_pairs_brute_force(spark):
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    rng = random.Random(4)
+    names = sorted({rng.choice(("the ", "The ", "a ", "")) + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(120)})
+    counts = {n: rng.randrange(3) for n in names}
+    df = spark.createDataFrame(list(counts.items()), "name string, n bigint")
+    want = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            d = distance(a.lower(), b.lower())
+            if a.lower().split(" ")[0] == b.lower().split(" ")[0] and 1 <= d <= 2:
+                want.append((b, a, d) if counts[a] >= counts[b] else (a, b, d))
+    assert rows(dedup.fuzzy_pairs(df, "name", "n", 2)) == sorted(want)
+
+
 def test_numbered_names(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a_2"), (4, "b")], "id bigint, n string")
     out = dedup.numbered_names(df, F.col("n"), [F.col("id")], spark.createDataFrame([("b",)], "name string"))
