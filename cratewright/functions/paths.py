@@ -30,7 +30,7 @@ def key_to_path(key: Column, volume: str = VOLUME) -> Column:
 
 def any_key_to_path(key: Column) -> Column:
     """Like :func:`key_to_path` for any volume: everything before the first ``/:`` is the volume; keys with plain slashes are kept."""
-    at = F.instr(key, F.lit("/:")) if hasattr(F, "instr") else F.locate("/:", key)
+    at = F.locate("/:", key)
     cut = F.when(at > 0, F.substr(key, at)).otherwise(key)
     return F.concat(F.lit("/"), F.array_join(F.filter(F.split(cut, "/:?"), lambda p: p != ""), "/"))
 

@@ -10,6 +10,9 @@ one row per anchor and artist is exchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +91,14 @@ def _spread(tracks: DataFrame) -> DataFrame:
     return tracks.repartition(2 * tracks.sparkSession.sparkContext.defaultParallelism, "idx")
 
 
-def _bounded(anchors: DataFrame) -> DataFrame:
-    if anchors.limit(MAX_ANCHORS + 1).count() > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors; ask in blocks")
-    return F.broadcast(anchors)
+def _in_blocks(asked: DataFrame, column: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers for all anchors, at most about ``MAX_ANCHORS`` in a block; each block is small enough to be sent to every task."""
+    n = asked.count()
+    blocks = -(-n // MAX_ANCHORS)
+    if blocks <= 1:
+        return answer(asked)
+    part = F.pmod(F.xxhash64(column), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (answer(asked.where(part == i)) for i in range(blocks)))
 
 
 def _key_score(p: str) -> Column:
@@ -130,7 +137,11 @@ def lock(tracks: DataFrame, anchors: DataFrame, n: int = 8, show: tuple[str, ...
     the show are left out; of what remains in the list, scores of 0.1 and less
     go.  Ties go to the track that comes first (idx).
     """
-    pairs = _spread(_prepared(tracks, show, played)).join(_bounded(_asked(anchors, "a")), F.col("who") != F.col("a_who"))
+    return _in_blocks(anchors, "idx", lambda block: _lock(tracks, block, n, show, played))
+
+
+def _lock(tracks: DataFrame, anchors: DataFrame, n: int, show: tuple[str, ...] | None, played: DataFrame | None) -> DataFrame:
+    pairs = _spread(_prepared(tracks, show, played)).join(F.broadcast(_asked(anchors, "a")), F.col("who") != F.col("a_who"))
     same = F.coalesce("genre", F.lit("")) == F.col("a_genre")
     score = (
         0.33 * harmonic.bpm_compat(F.col("a_bpm"), F.col("bpm"))
@@ -170,10 +181,14 @@ def bridge(tracks: DataFrame, pairs: DataFrame, n: int = 3, show: tuple[str, ...
     track's genre; so the best track of each artist and genre is found first,
     and the destinations are joined to these.
     """
+    return _in_blocks(pairs, "a_idx", lambda block: _bridge(tracks, block, n, show, played))
+
+
+def _bridge(tracks: DataFrame, pairs: DataFrame, n: int, show: tuple[str, ...] | None, played: DataFrame | None) -> DataFrame:
     two = [pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in TRACK), F.col("a_idx").alias("of")) for p in ("a", "s")]
     a, s = _asked(two[0], "a"), _asked(two[1].withColumn("bpm", F.col("bpm")), "s").drop("s_genres", "s_themes")
     ask = pairs.select("a_idx", "s_idx").join(a, "a_idx").join(s.dropDuplicates(["s_idx"]), "s_idx")
-    scored = _spread(_prepared(tracks, show, played)).join(_bounded(ask), (F.col("who") != F.col("a_who")) & (F.col("who") != F.col("s_who")))
+    scored = _spread(_prepared(tracks, show, played)).join(F.broadcast(ask), (F.col("who") != F.col("a_who")) & (F.col("who") != F.col("s_who")))
     mix = 0.5 * harmonic.bpm_compat(F.col("s_bpm"), F.col("bpm")) + 0.5 * _key_score("s")
     base = 0.47 * mix + 0.10 * F.col("core") + 0.05 * _theme_score("a")
     best = scored.groupBy("a_idx", "s_idx", "who", "genre").agg(F.max(_pack(base)).alias("packed"))
@@ -199,7 +214,7 @@ def rescue(tracks: DataFrame, anchors: DataFrame, n: int = 5, least_stars: int =
     """
     w = Window.partitionBy("stars", "bpm", "genre").orderBy("idx")
     few = _prepared(tracks.where(F.col("stars") >= least_stars)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
-    pairs = _spread(few).join(_bounded(_asked(anchors, "a")))
+    pairs = _spread(few).join(F.broadcast(_asked(anchors, "a")))
     score = 0.4 * F.col("stars") / 5.0 + 0.35 * harmonic.bpm_compat(F.col("a_bpm"), F.col("bpm")) + 0.25 * _genre_score("a")
     top = _top(pairs.select("a_idx", _pack(score).alias("packed")), ["a_idx"], n).where("score > 0")
     return top.join(tracks.select("idx", "path"), "idx").join(anchors.select(F.col("idx").alias("a_idx"), F.col("path").alias("anchor")), "a_idx").select("anchor", "place", "path", "score")

@@ -124,3 +124,13 @@ def test_grid(spark):
     assert [c.start_ms for c in made[0]] == [0.0, 0.0, 52000.0] and made[1:] == [None, None, None]
     bars = values(spark, [(0.0, 120.0, 60000.0), (0.0, 120.0, 100.0)], grid.bar_cues, "double,double,double")
     assert [c.start_ms for c in bars[0]] == [0.0, 44000.0] and len(bars[1]) == 1
+
+
+def test_table_functions(spark):
+    from cratewright.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "[00:01.5] a\n[x]b\n[01:00.0] c"), (2, None)], "i int, t string").createOrReplaceTempView("timed")
+    assert sorted(tuple(r) for r in spark.sql("select i, l.* from timed, lateral lrc_lines(t) l").collect()) == [(1, 1500.0, "a"), (1, 60000.0, "c")]
+    assert [tuple(r) for r in spark.sql("select * from estimated_lines('a\n\nb', double(10)) order by ms").collect()] == [(0.0, "a"), (5.0, "b")]
+    assert sorted(tuple(r) for r in spark.sql("select * from name_candidates('Foo - Bar')").collect()) == [("Bar", "Foo"), ("Foo", "Bar")]
