@@ -72,6 +72,13 @@ def sanitize_name(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_id", text.safe_name(c("title")).alias("name"))
 
 
+@query()
+def sanitize_titles(spark: SparkSession, d: str) -> DataFrame:
+    # The whole job: titles in any characters.
+    e = table(spark, d, "nml_entry").where("title is not null")
+    return e.select("entry_id", text.safe_name(c("title")).alias("name"))
+
+
 @query()
 def clean_stem(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry").where("loc_file is not null").withColumn("x", text.clean_stem(F.regexp_replace("loc_file", r"(?<=.)\.[^.]*$", "")))
