@@ -155,6 +155,13 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", text.html_to_text(c("text")).alias("plain"))
 
 
+@query()
+def html_texts(spark: SparkSession, d: str) -> DataFrame:
+    # The whole job: breaks, scripts, styles and entities, too.
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", text.html_to_text(c("text")).alias("plain"))
+
+
 @query("SELECT lyrics_id, CASE WHEN length(lyrics_text) > 800 THEN substring(lyrics_text, 1, 800) || chr(10) || '[truncated]' ELSE lyrics_text END AS short FROM lyrics_raw")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lyrics_raw").select("lyrics_id", text.truncated(c("lyrics_text"), 800).alias("short"))

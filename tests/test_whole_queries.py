@@ -1,5 +1,6 @@
 """Queries over the whole job that SQL cannot express, against brute force."""
 
+import html
 import re
 import unicodedata
 
@@ -17,3 +18,16 @@ def test_sanitize_titles(spark, tmp_path):
 
     got = {r.entry_id: r.name for r in registry.queries()["sanitize_titles"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(titles) if t is not None}
+
+
+def test_html_texts(spark, tmp_path):
+    texts = ["a<br>b<BR />c", "<style>p {x}</style>a<script type='x'>if (1 < 2) {}</script>b", "x &amp; y &lt;b&gt; &#65; &nope;", "<p\nclass=x>text</p> 1 < 2", "plain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(t):
+        t = re.sub(r"<br\s*/?>", "\n", t, flags=re.I)
+        t = re.sub(r"<(script|style)\b.*?</\1>", "", t, flags=re.I | re.S)
+        return html.unescape(re.sub(r"<[^>]*>", "", t))
+
+    got = {r.doc_id: r.plain for r in registry.queries()["html_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
