@@ -460,6 +460,16 @@ def baseline_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return stages.snapshot(t, {"without_lyrics": ("entries", "lyrics"), "credits_over": ("credits", "entries")})
 
 
+def _rebuilt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stage with all its results; the plays of a session are its references."""
+    sha = table(spark, d, "dedup_member").where("group_id is not null").groupBy("group_id", "entry_id").agg(F.min("sha").alias("sha")).select("entry_id", "sha")
+    at = entry_paths(spark, d)
+    e = at.join(sha, "entry_id", "left").select(c("entry_id").alias("entry_idx"), "path", "sha", F.size("cues").alias("richness"))
+    m = e.where("path like '/crates/main/%'").select(c("path").alias("old_path")).distinct().withColumn("new_path", F.concat(F.lit("/music"), F.substring("old_path", 13, 1 << 30)))
+    refs = table(spark, d, "history_row").join(at.select("entry_id", "path"), "entry_id").select(c("session_id").cast("string").alias("playlist"), c("row_id").alias("pos"), "path")
+    return stages.rebuild(e, m, ["/crates/inbox"], refs)
+
+
 @query(f"""
 WITH {_PATHS}, s AS (SELECT group_id, entry_id, min(sha) AS sha FROM dedup_member WHERE group_id IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT p.entry_id AS entry_idx, p.path, s.sha, CAST(len(n.cues) AS INTEGER) AS richness, CASE WHEN starts_with(p.path, '/crates/main/') THEN '/music' || substring(p.path, 13) END AS mapped FROM p JOIN nml_entry n USING (entry_id) LEFT JOIN s USING (entry_id)),
@@ -468,8 +478,14 @@ z AS (SELECT *, row_number() OVER (PARTITION BY coalesce(sha, 'entry ' || CAST(e
 SELECT entry_idx, CASE WHEN rn = 1 THEN outcome ELSE 'merged' END AS outcome FROM z UNION ALL SELECT entry_idx, outcome FROM y WHERE outcome = 'drop'
 """)
 def rebuild_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    sha = table(spark, d, "dedup_member").where("group_id is not null").groupBy("group_id", "entry_id").agg(F.min("sha").alias("sha")).select("entry_id", "sha")
-    e = entry_paths(spark, d).join(sha, "entry_id", "left").select(c("entry_id").alias("entry_idx"), "path", "sha", F.size("cues").alias("richness"))
-    m = e.where("path like '/crates/main/%'").select(c("path").alias("old_path")).distinct().withColumn("new_path", F.concat(F.lit("/music"), F.substring("old_path", 13, 1 << 30)))
-    refs = spark.createDataFrame([], "playlist string, pos int, path string")
-    return stages.rebuild(e, m, ["/crates/inbox"], refs)[2]
+    return _rebuilt(spark, d)[2]
+
+
+@query()
+def rebuild_kept(spark: SparkSession, d: str) -> DataFrame:
+    return _rebuilt(spark, d)[0]
+
+
+@query()
+def rebuild_refs(spark: SparkSession, d: str) -> DataFrame:
+    return _rebuilt(spark, d)[1]

@@ -4,7 +4,7 @@ import html
 import re
 import unicodedata
 
-from cratewright.plans import registry
+from cratewright.plans import collection_queries, registry
 
 
 def test_sanitize_titles(spark, tmp_path):
@@ -31,3 +31,19 @@ def test_html_texts(spark, tmp_path):
 
     got = {r.doc_id: r.plain for r in registry.queries()["html_texts"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
+
+
+def test_rebuild_refs(spark, tmp_path):
+    def path(i):
+        return [r.path for r in at if r.entry_id == i][0]
+
+    entries = [(1, "/:crates/:main/:", "a.mp3", 1), (2, "/:crates/:inbox/:", "b.mp3", 2), (3, "/:crates/:else/:", "c.mp3", 0), (4, "/:crates/:main/:", "d.mp3", 0)]
+    rows = [(i, d, f, "", [("c",)] * n) for i, d, f, n in entries]
+    spark.createDataFrame(rows, "entry_id bigint, loc_dir string, loc_file string, loc_volume string, cues array<struct<cue_name: string>>").write.parquet(f"{tmp_path}/nml_entry.parquet")
+    spark.createDataFrame([(1, 1, "s"), (1, 2, "s")], "group_id bigint, entry_id bigint, sha string").write.parquet(f"{tmp_path}/dedup_member.parquet")
+    spark.createDataFrame([(n, 7, n) for n in (1, 2, 3, 4)], "row_id bigint, session_id bigint, entry_id bigint").write.parquet(f"{tmp_path}/history_row.parquet")
+    at = collection_queries.entry_paths(spark, str(tmp_path)).select("entry_id", "path").collect()
+    music = {i: "/music" + path(i)[12:] for i in (1, 4)}
+    run = registry.queries()
+    assert sorted((r.playlist, r.pos, r.path) for r in run["rebuild_refs"](spark, str(tmp_path)).collect()) == [("7", 1, music[1]), ("7", 2, music[1]), ("7", 4, music[4])]
+    assert sorted((r.entry_idx, r.path) for r in run["rebuild_kept"](spark, str(tmp_path)).collect()) == [(2, music[1]), (4, music[4])]
