@@ -138,7 +138,7 @@ def snapshot(counts: dict[str, DataFrame], gaps: dict[str, tuple[str, str]]) ->
 
 def now_playing(shown: DataFrame, tracks: DataFrame, order: str = "idx") -> DataFrame:
     """The first track whose artist and title hold what a deck shows; shown: (deck, artist, title), a row per deck."""
-    s = F.broadcast(shown.limit(16).select("deck", F.lower("artist").alias("_a"), F.lower("title").alias("_t")))
+    s = F.broadcast(shown.select("deck", F.lower("artist").alias("_a"), F.lower("title").alias("_t")).distinct())
     hit = tracks.join(s, F.contains(F.lower("artist"), F.col("_a")) & F.contains(F.lower("title"), F.col("_t")))
     return hit.groupBy("deck").agg(F.min_by("path", order).alias("path"))
 
