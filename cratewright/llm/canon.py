@@ -139,8 +139,9 @@ class Dictionary:
             return min((0.0, -self.uses[i], i) for i in self.names[word])
         best = (99.0, 0, 0)
         edits = allowed_edits(len(word), self.max_edits)
-        if not edits:
+        if not edits and len(word) != 3:
             return best
+        # Three letters can be an entry of four with one left out.
         for key in {k for cut in self.index.keys() & deletions(word, edits) for k in self.index[cut]}:
             # A slip inside a swapped pair costs three light edits; long names bear it.
             limit = max(edits, allowed_edits(len(key), self.max_edits)) + (1.0 if len(key) >= 8 else 0.0)
