@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cratewright.session import cut
+
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
@@ -39,7 +41,8 @@ JOINING = {"ARABIC", "SYRIAC", "MONGOLIAN", "DEVANAGARI", "BENGALI", "GUJARATI",
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ORDINARY = r"^[\x09\x0a\x20-\x7e]*$"
-FIELDS = "clean string, found boolean, words array<struct<word:string,repaired:string,sure:boolean>>"
+FIELDS = "clean string, found boolean, words array<struct<word:string,repaired:string,sure:boolean>>, parts array<string>"
+FEW = 1_000_000  # repaired words that are sent to every task; more are joined by exchange
 
 
 @lru_cache(100_000)
@@ -95,6 +98,26 @@ def without_forms(text: str) -> tuple[str, bool]:
     return composed, found or composed != joined
 
 
+@lru_cache(100_000)
+def lookalike(c: str) -> str | None:
+    """The Latin letter a letter of another script looks like, accents included; None if there is none."""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    base, *marks = unicodedata.normalize("NFD", c)
+    return unicodedata.normalize("NFC", LOOKALIKES[base] + "".join(marks)) if marks and base in LOOKALIKES else None
+
+
+@lru_cache(100_000)
+def lookalike_in(target: str, latin: str) -> str | None:
+    """The letter of a script that looks like a Latin one, accents included."""
+    letters = BACK.get(target, {})
+    if latin in letters:
+        return letters[latin]
+    base, *marks = unicodedata.normalize("NFD", latin)
+    made = unicodedata.normalize("NFC", letters[base] + "".join(marks)) if marks and base in letters else ""
+    return made if len(made) == 1 else None
+
+
 def repair(word: str) -> tuple[str, bool] | None:
     """(the word in its dominant script, whether it is mixed beyond doubt), None if the word is of one script or no repair exists.
 
@@ -116,33 +139,39 @@ def repair(word: str) -> tuple[str, bool] | None:
             if script(c) == target or unicodedata.combining(c):
                 letters.append(c)
                 continue
-            latin = c if script(c) == "LATIN" else LOOKALIKES.get(c)
-            new = latin if target == "LATIN" else BACK.get(target, {}).get(latin) if latin else None
+            latin = c if script(c) == "LATIN" else lookalike(c)
+            new = latin if target == "LATIN" else lookalike_in(target, latin) if latin else None
             if new is None:
                 break
             letters.append(new)
         else:
             return "".join(letters), True
     # All letters may be look-alikes of a third script's.
-    if all(script(c) == "LATIN" or c in LOOKALIKES for c in word):
-        return "".join(LOOKALIKES.get(c, c) for c in word), False
+    if all(script(c) == "LATIN" or lookalike(c) for c in word):
+        return "".join(lookalike(c) or c for c in word), False
     return None
 
 
-def examine(text: str | None) -> tuple[str | None, bool, list[tuple[str, str, bool]]]:
+def examine(text: str | None) -> tuple[str | None, bool, list[tuple[str, str, bool]], list[str]]:
+    """(text in ordinary characters, whether it held others, its mixed words with their repairs, the text cut at these words)."""
     if text is None:
-        return None, False, []
+        return None, False, [], []
     clean, found = without_forms(text)
-    words = []
-    for w in dict.fromkeys(_WORD.findall(clean)):
-        r = repair(w)
-        if r:
-            words.append((w, *r))
-    return clean, found, words
+    words: dict[str, tuple[str, bool] | None] = {}
+    parts, at = [], 0
+    for m in _WORD.finditer(clean):
+        w = m[0]
+        if w not in words:
+            words[w] = repair(w)
+        if words[w]:
+            parts += [clean[at : m.start()], w]
+            at = m.end()
+    mixed = [(w, *r) for w, r in words.items() if r]
+    return clean, found, mixed, [*parts, clean[at:]] if mixed else []
 
 
 def _examined(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([examine(v) for v in values], columns=["clean", "found", "words"])
+    return pd.DataFrame([examine(v) for v in values], columns=["clean", "found", "words", "parts"])
 
 
 def one_form(rows: DataFrame, id_cols: list[str], text_cols: list[str]) -> DataFrame:
@@ -150,41 +179,44 @@ def one_form(rows: DataFrame, id_cols: list[str], text_cols: list[str]) -> DataF
 
     ``found`` tells whether the value held characters other than the ordinary
     ones they look like.  A word of mixed script counts if each foreign letter
-    has a look-alike in the dominant script, or if its repair is a word of the corpus; it is substituted only in the second case.
-    Words wholly in another script, typographic quotes and dashes, tabs and line
-    feeds are left alone.  Null stays null and is not found; the empty text is
-    itself.  Repeated rows give repeated results; other columns are ignored.
+    has a look-alike in the dominant script, or if its repair is a word of the
+    corpus; it is substituted only in the second case, and only as a whole word.
+    The corpus' words are those of the values once wide, styled and loosely
+    accented characters are brought to one form.  Words wholly in another
+    script, typographic quotes and dashes, tabs and line feeds are left alone.
+    Null stays null and is not found; the empty text is itself.  Repeated rows
+    give repeated results; other columns are ignored.
     """
     examined = F.pandas_udf(_examined, FIELDS)
     fields = F.array(*(F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in text_cols))
     values = rows.select(*id_cols, F.inline(fields))
     kept = [*id_cols, "field_name", "value"]
-    looked = values.where(~F.col("value").rlike(_ORDINARY)).withColumn("x", examined("value")).select(*kept, "x.*")
-    spread = looked.where(F.size("words") > 0).select("value", F.inline("words")).distinct()
-    wanted = spread.select("repaired").distinct()
-    words = values.select(F.explode(F.regexp_extract_all("value", F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
+    ordinary = values.where(F.col("value").isNull() | F.col("value").rlike(_ORDINARY))
+    # Examined once; the values that are not plain ASCII are read again several times.
+    looked = cut(values.where(~F.col("value").rlike(_ORDINARY)).withColumn("x", examined("value")).select(*kept, "x.*"))
+    mixed = looked.where(F.size("words") > 0)
+    spread = cut(mixed.select("value", F.inline("words")).distinct())
+    wanted = spread.select(F.lower("repaired").alias("w")).distinct()
+    corpus = ordinary.select(F.col("value").alias("text")).unionByName(looked.select(F.col("clean").alias("text")))
+    words = corpus.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
     # A word of the corpus is kept only if some repair gives it, before words are exchanged.
-    known = wanted.join(words.select(F.lower("w").alias("w")).distinct(), F.lower("repaired") == F.col("w"), "left_semi").withColumn("known", F.lit(True))
+    few = wanted.count() <= FEW
+    known = words.join(F.broadcast(wanted), "w", "left_semi").distinct() if few else words.distinct().join(wanted, "w", "left_semi")
     done = (
-        spread.join(known, "repaired", "left")
+        spread.join(known.withColumn("known", F.lit(True)), F.lower("repaired") == F.col("w"), "left")
         .groupBy("value")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("word", "repaired")))).alias("swaps"),
+            F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("known"), F.struct("word", "repaired"))))).alias("swaps"),
             F.max(F.coalesce(F.col("known"), F.lit(False)) | F.col("sure")).alias("foreign"),
             F.count(F.when(F.col("known").isNull(), 1)).cast("int").alias("mixed"),
         )
     )
-    swapped = F.aggregate("swaps", F.col("clean"), lambda t, s: F.replace(t, s["word"], s["repaired"]))
+    swapped = F.array_join(F.transform("parts", lambda p: F.coalesce(F.try_element_at("swaps", p), p)), "")
     zero = F.lit(0)
     return (
-        values.where(F.col("value").isNull() | F.col("value").rlike(_ORDINARY))
-        .select(*kept, F.col("value").alias("clean"), F.lit(False).alias("found"), zero.alias("repaired"), zero.alias("mixed"))
+        ordinary.select(*kept, F.col("value").alias("clean"), F.lit(False).alias("found"), zero.alias("repaired"), zero.alias("mixed"))
         .unionByName(looked.where(F.size("words") == 0).select(*kept, "clean", "found", zero.alias("repaired"), zero.alias("mixed")))
-        .unionByName(
-            looked.where(F.size("words") > 0)
-            .join(done, "value")
-            .select(*kept, swapped.alias("clean"), (F.col("found") | F.col("foreign")).alias("found"), F.size("swaps").alias("repaired"), "mixed")
-        )
+        .unionByName(mixed.join(done, "value").select(*kept, swapped.alias("clean"), (F.col("found") | F.col("foreign")).alias("found"), F.size("swaps").alias("repaired"), "mixed"))
     )
 
 

@@ -95,6 +95,15 @@ def test_normalising_twice_is_once():
         assert lookalike.without_forms(once) == (once, False)
 
 
+def test_only_whole_words_are_repaired(spark):
+    rows = [(1, "аn bаnq"), (2, "an"), (3, "ｍｏｎｏ"), (4, "mоno mоno, x"), (5, "Ёlan"), (6, "Ëlan")]
+    df = spark.createDataFrame(rows, "entry_id bigint, title string")
+    got = {r.entry_id: (r.clean, r.found, r.repaired, r.mixed) for r in lookalike.one_form(df, ["entry_id"], ["title"]).collect()}
+    assert got[1] == ("an bаnq", True, 1, 1)  # "banq" is no word of the corpus
+    assert got[4] == ("mono mono, x", True, 1, 0)  # a word written in wide form counts
+    assert got[5] == ("Ëlan", True, 1, 0)
+
+
 # ---- names
 
 
