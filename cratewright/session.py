@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable.
 
-    The folder named by ``spark.checkpoint.dir`` wins.  Only where the session
-    names none (tests, a laptop) a temporary one is made.
+    The folder named by ``spark.checkpoint.dir`` wins.  Where the session names
+    none, a temporary one is made in local mode only; on a cluster it must be
+    shared, so that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cratewright-"))
 
 
@@ -32,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame | None) -> None:
+    """Delete the files of a frame made by :func:`cut` that nothing will read again, as the rounds of a loop leave behind."""
+    if df is None:
+        return
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 _shipped: set[str] = set()
 
 

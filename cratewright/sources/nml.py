@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewright.functions import paths
@@ -30,7 +30,7 @@ ENTRY_SCHEMA = (
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """All ENTRY elements with src_file and entry_idx, their order within the file."""
+    """All ENTRY elements with src_file and entry_idx, a number in the order of files and of elements within each file, with gaps between partitions."""
     raw = spark.read.format("xml").option("rowTag", "ENTRY").schema(ENTRY_SCHEMA).load(path)
     return raw.withColumn("src_file", F.col("_metadata.file_path")).withColumn("entry_idx", F.monotonically_increasing_id())
 
@@ -145,10 +145,18 @@ def without_lyrics(t: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def insert_or_update(t: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
-    """Records of ``new`` (path and fields) update those with their path where not null; others are added at the end."""
-    n = new.select("path", *(F.col(f).alias(f"_{f}") for f in fields))
-    updated = t.join(n, "path", "left")
+    """Records of ``new`` (path and fields) update those with their path where not null; others are added at the end.
+
+    Of several new records with one path the first by its fields counts.  Added
+    records get the numbers after the greatest entry_idx, by path.
+    """
+    from cratewright.operators.dedup import keep_best
+    from cratewright.operators.rank import numbered
+
+    one = keep_best(new, ["path"], [F.col(f).asc_nulls_last() for f in fields])
+    updated = t.join(one.select("path", *(F.col(f).alias(f"_{f}") for f in fields)), "path", "left")
     for f in fields:
         updated = updated.withColumn(f, F.coalesce(f"_{f}", f))
-    added = new.join(t.select("path"), "path", "left_anti").withColumn("entry_idx", F.lit(1 << 62) + F.row_number().over(Window.partitionBy("path").orderBy("path")))
-    return updated.select(t.columns).unionByName(added, allowMissingColumns=True).select(t.columns)
+    last = t.agg(F.coalesce(F.max("entry_idx"), F.lit(-1))).first()[0]
+    added = numbered(one.join(t.select("path"), "path", "left_anti"), "path", "_n").withColumn("entry_idx", F.col("_n") + (last + 1))
+    return updated.select(t.columns).unionByName(added.drop("_n"), allowMissingColumns=True).select(t.columns)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cratewright.session import exists
+
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of (key, value...) from JSON lines or a Parquet folder; empty if it is missing.  Broken lines are left out."""
     fields = [f.strip().split()[0] for f in schema.split(",") if " " in f.strip()]
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     if path.endswith(".json"):
         df = spark.read.schema(schema + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
@@ -21,7 +21,7 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value) of a file that holds one JSON object; an object that cannot be read gives no rows.  A null value stays a row."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], f"key string, value {value}")
     raw = spark.read.option("wholetext", "true").text(path)
     return raw.select(F.explode_outer(F.from_json("value", f"map<string,{value}>")).alias("key", "value")).where("key is not null")
@@ -43,9 +43,11 @@ def write_version(df: DataFrame, folder: str, run: str) -> str:
 
 
 def setlist_lines(played: DataFrame) -> DataFrame:
-    """(n, line): the numbered list of a night."""
-    n = F.row_number().over(Window.orderBy("played_at", "path"))
-    return played.select(n.alias("n"), "artist", "title", "bpm", "genre").select("n", F.format_string("%02d. %s - %s [%.1f BPM | %s]", "n", "artist", "title", "bpm", "genre").alias("line"))
+    """(n, line): the numbered list of a night; numbered by range partitions."""
+    from cratewright.operators.rank import numbered
+
+    rows = numbered(played.select(F.struct("played_at", "path").alias("_at"), "artist", "title", "bpm", "genre"), "_at", "n").withColumn("n", (F.col("n") + 1).cast("int"))
+    return rows.select("n", F.format_string("%02d. %s - %s [%.1f BPM | %s]", "n", "artist", "title", "bpm", "genre").alias("line"))
 
 
 def m3u_lines(anchor: DataFrame, second: DataFrame, groups: DataFrame) -> DataFrame:

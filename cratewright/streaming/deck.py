@@ -156,14 +156,14 @@ def intake(spark: SparkSession, folder: str, done: str, failed: str, checkpoint:
     ``parse`` maps a DataFrame of (path, name, length) to the same rows with a
     boolean column ``ok``.  Runs once over what is there, or every 8 seconds.
     """
-    import os
+    from cratewright.session import exists
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     rows = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
     def step(df: DataFrame, _: int) -> None:
         new = df.dropDuplicates(["name"])
-        if os.path.exists(done):
+        if exists(spark, done):
             new = new.join(spark.read.parquet(done).select("name"), "name", "left_anti")
         out = parse(new).persist()
         out.where("ok").drop("ok").write.mode("append").parquet(done)

@@ -100,3 +100,30 @@ def test_exports(spark):
     assert lines[0] == "#EXTM3U" and "# → Darkwave" in lines and lines.count("/p") == 2 and "#EXTINF:-1,A — T  [120.0 BPM | 1d | EBM | 88% | BLEND]" in lines
     played = t.withColumn("played_at", F.lit("2024-01-01").cast("timestamp"))
     assert state.setlist_lines(played).first().line == "01. A - T [120.0 BPM | EBM]"
+
+
+def test_added_records_get_different_numbers(spark):
+    t = spark.createDataFrame([("/a", "x", 7), ("/b", "y", 3)], "path string, artist string, entry_idx bigint")
+    new = spark.createDataFrame([("/b", "z"), ("/c", "u"), ("/d", "v"), ("/d", None)], "path string, artist string")
+    got = sorted(tuple(r) for r in nml.insert_or_update(t, new, ["artist"]).collect())
+    assert got == [("/a", "x", 7), ("/b", "z", 3), ("/c", "u", 8), ("/d", "v", 9)]
+    assert nml.insert_or_update(t.limit(0), new, ["artist"]).count() == 3
+
+
+def test_state_by_any_kind_of_path(spark, tmp_path):
+    spark.createDataFrame([("k", 1)], "key string, n int").write.parquet(f"{tmp_path}/s")
+    for path in (f"{tmp_path}/s", f"file://{tmp_path}/s"):
+        assert [tuple(r) for r in state.read_state(spark, path, "key string, n int").collect()] == [("k", 1)]
+    assert state.read_state(spark, f"file://{tmp_path}/none", "key string, n int").count() == 0
+
+
+def test_released_files_are_gone(spark):
+    import os
+
+    from cratewright.session import cut, release
+
+    df = cut(spark.range(5))
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().replace("file:", "")
+    assert os.path.exists(file)
+    release(df)
+    assert not os.path.exists(file)
