@@ -9,10 +9,10 @@ split the set of a vertex that holds a third of all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cratewright.session import cut
+from cratewright.session import cut, release
 
 
 def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,15 +22,18 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """
     ends = pairs.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").distinct()
     sets = ends.select(F.inline(F.array(*(F.struct(F.col(x).alias("v"), F.col(y).alias("u")) for x, y in (("v", "u"), ("u", "v"), ("v", "v"), ("u", "u")))))).distinct()
-    sets, before = cut(sets), None
-    while True:
-        state = sets.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if before is not None and tuple(state) == before:
-            break
-        before = tuple(state)
+    sets, old = cut(sets), None
+    while not sets.isEmpty():
         least = sets.groupBy("v").agg(F.min("u").alias("m"))
-        sent = sets.join(least, "v").select(F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
-        sets = cut(sent.distinct())
+        seen = Observation()
+        # A round changes nothing once every vertex but the minima holds its minimum only.
+        told = sets.join(least, "v").observe(seen, F.count_if((F.col("v") != F.col("m")) & (F.col("u") != F.col("m"))).alias("open"))
+        sent = told.select(F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
+        new = cut(sent.distinct())
+        release(old)
+        old, sets = sets, new
+        if not seen.get["open"]:
+            break
     return sets.groupBy("v").agg(F.min("u").alias("root"))
 
 

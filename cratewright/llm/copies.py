@@ -24,15 +24,24 @@ SCANNED = "entry_id bigint, run_id bigint, edge_key string, edge_n bigint"
 
 
 def canonical(text: Column) -> Column:
-    """Letters and digits only, in one case; null if there is none."""
-    kept = F.regexp_replace(F.upper(F.lower(text)), r"[^\p{L}\p{N}]", "")
-    return F.when(kept != "", kept)
+    """Letters and digits only, in one case; the empty text if there is none."""
+    return F.regexp_replace(F.upper(F.lower(text)), r"[^\p{L}\p{N}]+", "")
 
 
-def record_key(first: Column, second: Column) -> Column:
-    """One key for both orders of the two fields; null if either is empty."""
-    a, b = canonical(first), canonical(second)
-    return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.least(a, b), F.lit("\t"), F.greatest(a, b)))
+def keyed(records: DataFrame, first: str, second: str, id_col: str) -> DataFrame:
+    """(h, key, entry_id) of the records that have a letter or digit in both fields; one key for both orders of the fields.
+
+    The test for a letter stops at the first one, and each field is brought to
+    its canonical form once.
+    """
+    there = records.where(F.col(first).rlike(r"[\p{L}\p{N}]") & F.col(second).rlike(r"[\p{L}\p{N}]") & F.col(id_col).isNotNull())
+    sides = F.array_sort(F.array(canonical(F.col(first)), canonical(F.col(second))))
+    rows = there.select(F.array_join(sides, "\t").alias("key"), F.col(id_col).cast("bigint").alias("entry_id"))
+    return rows.select(F.xxhash64("key").alias("h"), "key", "entry_id")
+
+
+def sorted_by_key(records: DataFrame, first: str, second: str, id_col: str) -> DataFrame:
+    return keyed(records, first, second, id_col).repartitionByRange("h", "entry_id").sortWithinPartitions("h", "key", "entry_id")
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +127,47 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(np.array(single, np.int64), np.array(single, np.int64), ends)
 
 
+def scan_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (run_id, n, edge_key) per run of equal keys in a sorted partition; edge_key only for the runs whose hash is that of the first or last row."""
+    first_h: int | None = None
+    held: list[tuple[int, str, int, int]] = []  # runs of the last hash: hash, key, run_id, rows
+
+    def rows(runs: list[tuple[int, str, int, int]], edge: bool) -> pa.RecordBatch:
+        keys = [r[1] if edge or r[0] == first_h else None for r in runs]
+        return pa.RecordBatch.from_arrays([pa.array([r[2] for r in runs], pa.int64()), pa.array([r[3] for r in runs], pa.int64()), pa.array(keys, pa.string())], names=["run_id", "n", "edge_key"])
+
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        h, key, ids = b.column("h").to_numpy(), b.column("key"), b.column("entry_id").to_numpy()
+        if first_h is None:
+            first_h = int(h[0])
+        new = np.ones(n, bool)
+        if n > 1:
+            new[1:] = ~pc.equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        if held and held[-1][0] == h[0] and held[-1][1] == key[0].as_py():
+            new[0] = False
+        starts = np.flatnonzero(new)
+        bounds = np.append(starts, n)
+        if bounds[0]:
+            held[-1] = (*held[-1][:3], held[-1][3] + int(bounds[0]))
+        if not len(starts):
+            continue
+        last = h[n - 1]
+        if held and held[0][0] != last:
+            yield rows(held, False)
+            held = []
+        back = int(np.searchsorted(h[starts], last))  # sorted: runs from here on have the last hash
+        done, sizes = starts[:back], np.diff(bounds)
+        edge = pa.array(h[done] == first_h)
+        keys = pc.if_else(edge, key.take(pa.array(done)), pa.scalar(None, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[done], pa.int64()), pa.array(sizes[:back], pa.int64()), keys], names=["run_id", "n", "edge_key"])
+        held += [(int(last), key[int(i)].as_py(), int(ids[i]), int(k)) for i, k in zip(starts[back:], sizes[back:])]
+    if held:
+        yield rows(held, True)
+
+
 def formatting_copies(records: DataFrame, first: str = "artist", second: str = "title", id_col: str = "entry_id") -> DataFrame:
     """Each record with at least one copy: group_id (smallest id of its copies) and entry_id.
 
@@ -125,21 +175,16 @@ def formatting_copies(records: DataFrame, first: str = "artist", second: str = "
     Ids are expected to be unique; a repeated id counts as one copy more.  Extra
     columns are ignored; an empty table gives an empty result.
     """
-    keyed = records.select(record_key(F.col(first), F.col(second)).alias("key"), F.col(id_col).cast("bigint").alias("entry_id")).where("key is not null and entry_id is not null")
-    keyed = keyed.select(F.xxhash64("key").alias("h"), "key", "entry_id")
-    ordered = keyed.repartitionByRange("h", "entry_id").sortWithinPartitions("h", "key", "entry_id")
-    scanned = cut(ordered.mapInArrow(scan_runs, SCANNED))
+    scanned = cut(sorted_by_key(records, first, second, id_col).mapInArrow(scan_runs, SCANNED))
     edges = scanned.where("edge_key is not null").groupBy("edge_key").agg(F.min("run_id").alias("group_id"), F.sum("edge_n").alias("copies"), F.collect_set("run_id").alias("runs"))
-    # At most a few runs per partition, whatever the number of rows.
-    whole = F.broadcast(edges.select("group_id", "copies", F.explode("runs").alias("run_id")))
+    # A few runs per partition, whatever the number of rows; the planner chooses the join by their size.
+    whole = edges.select("group_id", "copies", F.explode("runs").alias("run_id"))
     rows = scanned.where("entry_id is not null").select("entry_id", "run_id").join(whole, "run_id", "left")
     return rows.where("copies is null or copies > 1").select(F.coalesce("group_id", "run_id").alias("group_id"), "entry_id")
 
 
 def one_per_record(records: DataFrame, first: str = "artist", second: str = "title", id_col: str = "entry_id") -> DataFrame:
     """One row per record that has letters or digits in both fields: its smallest id and number of copies (1 and more)."""
-    groups = formatting_copies(records, first, second, id_col).groupBy("group_id").agg(F.count(F.lit(1)).alias("copies"))
-    copied = formatting_copies(records, first, second, id_col).select("entry_id", "group_id")
-    ids = records.where(record_key(F.col(first), F.col(second)).isNotNull()).select(F.col(id_col).cast("bigint").alias("entry_id"))
-    singles = ids.join(copied, "entry_id", "left_anti").select(F.col("entry_id").alias("group_id"), F.lit(1).cast("bigint").alias("copies"))
-    return groups.unionByName(singles)
+    runs = cut(sorted_by_key(records, first, second, id_col).mapInArrow(scan_counts, "run_id bigint, n bigint, edge_key string"))
+    edges = runs.where("edge_key is not null").groupBy("edge_key").agg(F.min("run_id").alias("group_id"), F.sum("n").alias("copies"))
+    return runs.where("edge_key is null").select(F.col("run_id").alias("group_id"), F.col("n").alias("copies")).unionByName(edges.select("group_id", "copies"))

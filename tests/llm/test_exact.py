@@ -101,6 +101,30 @@ def test_scan_runs_across_batches():
         assert rows == want
 
 
+def test_records_brute_force(spark):
+    rng = random.Random(4)
+    words = ["a", "B", "c c", "d!", "e-f", "EF", "--", None]
+    rows = [(i, rng.choice(words), rng.choice(words)) for i in range(300)] + [(1000 + i, "Hot Key", "same") for i in range(200)]
+    df = spark.createDataFrame(rows, "entry_id bigint, artist string, title string")
+    by = defaultdict(list)
+    for i, a, t in rows:
+        x, y = ("".join(ch for ch in (v or "").upper() if ch.isalnum()) for v in (a, t))
+        if x and y:
+            by[tuple(sorted((x, y)))].append(i)
+    got = sorted(tuple(r) for r in copies.one_per_record(df.repartition(7)).select("group_id", "copies").collect())
+    assert got == sorted((min(v), len(v)) for v in by.values())
+    assert copies.one_per_record(df.limit(0)).count() == 0
+
+
+def test_scan_counts_across_batches():
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2, 2, 3, 4, 4]), pa.array(["a", "a", "b", "c", "c", "d", "e", "f"]), pa.array([1, 5, 2, 3, 9, 4, 6, 7])], names=["h", "key", "entry_id"])
+    for size in (1, 2, 3, 8):
+        rows = [(r["run_id"], r["n"], r["edge_key"]) for b in copies.scan_counts(iter([whole.slice(i, size) for i in range(0, 8, size)])) for r in b.to_pylist()]
+        assert sorted(rows) == [(1, 2, "a"), (2, 1, None), (3, 2, None), (4, 1, None), (6, 1, "e"), (7, 1, "f")]
+
+
 def brute_components(pairs):
     parent = {}
 
