@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cratewright.llm.batches import by_size
+from cratewright.session import cut
 
-MAX_LABELLED = 4_000
+MAX_LABELLED, MAX_SIGNS = 4_000, 20_000_000  # labelled documents the model is fitted on, and their signs in all
 LEVELS = 4
 WORDS, GRAMS = 1 << 14, 1 << 13
-PENALTY, STEPS, RATE = 2e-4, 150, 0.25
+PENALTY, STEPS, RATE = 2e-4, 240, 0.25
+PARTS = 6  # of the sample, taken in turn by the steps
 
 _SENTENCE = re.compile(r"(?<=[.!?;:])[\"”’')]*\s+|\n+")
 _BULLET = re.compile(r"^[\s\-*•–—>#\d.)]+")
@@ -73,19 +75,31 @@ class Features:
         self.grams = np.bincount(self.gram_of, minlength=self.n)
         long = np.bincount(self.word_of, weights=stops - at, minlength=self.n) / np.maximum(self.words, 1)
         self.dense = np.stack([np.ones(self.n), long / 8.0, np.log1p(self.words) / 3.0], axis=1)
+        self.sorted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def scores(self, w: np.ndarray, g: np.ndarray, d: np.ndarray) -> np.ndarray:
         out = self.dense @ d
-        for k in range(LEVELS):
-            out[:, k] += np.bincount(self.word_of, weights=w[self.word, k], minlength=self.n) / np.maximum(self.words, 1)
-            out[:, k] += np.bincount(self.gram_of, weights=g[self.gram, k], minlength=self.n) / np.maximum(self.grams, 1)
+        for ids, counts, table in ((self.word, self.words, w), (self.gram, self.grams, g)):
+            some = np.flatnonzero(counts)  # ids are in the order of sentences
+            if len(some):
+                starts = (np.cumsum(counts) - counts)[some]
+                out[some] += np.add.reduceat(table[ids], starts, axis=0) / counts[some, None]
         return out
 
     def gradient(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ew, eg = e / np.maximum(self.words, 1)[:, None], e / np.maximum(self.grams, 1)[:, None]
-        w = np.stack([np.bincount(self.word, weights=ew[self.word_of, k], minlength=WORDS) for k in range(LEVELS)], axis=1)
-        g = np.stack([np.bincount(self.gram, weights=eg[self.gram_of, k], minlength=GRAMS) for k in range(LEVELS)], axis=1)
-        return w, g, self.dense.T @ e
+        if self.sorted is None:  # sentences in the order of their features, once
+            self.sorted = []
+            for ids, of in ((self.word, self.word_of), (self.gram, self.gram_of)):
+                order = np.argsort(ids, kind="stable")
+                found, starts = np.unique(ids[order], return_index=True)
+                self.sorted.append((of[order], found, starts))
+        out = []
+        for (of, found, starts), counts, size in zip(self.sorted, (self.words, self.grams), (WORDS, GRAMS)):
+            table = np.zeros((size, LEVELS))
+            if len(found):
+                table[found] = np.add.reduceat((e / np.maximum(counts, 1)[:, None])[of], starts, axis=0)
+            out.append(table)
+        return out[0], out[1], self.dense.T @ e
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -97,7 +111,7 @@ def _adam(params: list[np.ndarray], grads, steps: int, rate: float, penalty: flo
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
-        for i, g in enumerate(grads(params)):
+        for i, g in enumerate(grads(params, t)):
             g = g + penalty * params[i]
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -134,11 +148,16 @@ class Model:
         of = np.fromiter((index.setdefault(s, len(index)) for p in parts for s in p), np.int64, len(of_doc))
         share = 1.0 / np.maximum(np.bincount(of_doc, minlength=len(texts)), 1)
         goal = np.stack([np.bincount(of, weights=(target[:, k] * share)[of_doc], minlength=len(index)) for k in range(LEVELS)], axis=1)
-        f, weight = Features(list(index)), goal.sum(axis=1, keepdims=True)
-        scale = max(len(texts), 1)
-        self.sentence = _adam(self.sentence, lambda p: f.gradient((softmax(f.scores(*p)) * weight - goal) / scale), STEPS, RATE, PENALTY)
+        weight, scale, all_of = goal.sum(axis=1, keepdims=True), max(len(texts), 1), list(index)
+        parts = [(Features(all_of[i::PARTS]), weight[i::PARTS], goal[i::PARTS]) for i in range(PARTS)]
+
+        def step(p: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            f, w, g = parts[t % PARTS]
+            return f.gradient((softmax(f.scores(*p)) * w - g) * (PARTS / scale))
+
+        self.sentence = _adam(self.sentence, step, STEPS, RATE, PENALTY)
         x = self._doc_features(texts)
-        (self.document,) = _adam([self.document], lambda p: [x.T @ (softmax(x @ p[0]) - target) / scale], 600, 0.05, 1e-4)
+        (self.document,) = _adam([self.document], lambda p, _: [x.T @ (softmax(x @ p[0]) - target) / scale], 600, 0.05, 1e-4)
         return self
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,13 +166,25 @@ class Model:
         return p.argmax(axis=1) + 1, p @ np.arange(1, LEVELS + 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on at most ``max_labelled`` labelled English documents, drawn by a hash of their id; the mean of several raters counts."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_signs: int = MAX_SIGNS) -> Model:
+    """Fit on labelled English documents drawn by a hash of their id; the mean of several raters counts.
+
+    At most ``max_labelled`` documents with at most ``max_signs`` signs in all are
+    taken, whole, in the order of the hash; one that would pass the bound is
+    left out.
+    """
     rated = labels.where(F.col("reading_level").between(1, LEVELS)).groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
-    drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.where("lang = 'en' and text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "level").toPandas()
-    rows = rows.sort_values(["text", "level"])
-    return Model().fit(rows["text"].tolist(), rows["level"].to_numpy(float))
+    drawn = rated.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_labelled)
+    rows = docs.where("lang = 'en' and text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    sample = cut(rows)
+    room, ids = max_signs, []
+    for i, n in sample.select("doc_id", F.length("text"), "h").orderBy("h", "doc_id").drop("h").collect():  # at most max_labelled rows
+        if n <= room:
+            room -= n
+            ids.append(i)
+    taken = sample.where(F.col("doc_id").isin(ids)).select("text", "level").toPandas() if ids else pd.DataFrame({"text": [], "level": []})
+    taken = taken.sort_values(["text", "level"])
+    return Model().fit(taken["text"].tolist(), taken["level"].to_numpy(float))
 
 
 LEVEL = "level int, expected double"

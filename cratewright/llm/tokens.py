@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cratewright.llm.batches import by_size
+
 TOKENIZERS = os.environ.get("CRATEWRIGHT_TOKENIZERS", "/opt/tokenizers")
 CACHE_WORDS = 400_000
 CHUNK = 2_000_000  # code points of whole texts that are split at a time
@@ -181,8 +184,10 @@ _mergers: dict[str, Merger] = {}
 
 
 def merger(path: str) -> Merger:
+    """The vocabulary at a path, or the copy the driver sent, read once per worker."""
     if path not in _mergers:
-        _mergers[path] = Merger(path)
+        sent = SparkFiles.get(os.path.basename(path)) if not os.path.exists(path) else path
+        _mergers[path] = Merger(sent)
     return _mergers[path]
 
 
@@ -230,6 +235,17 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZERS, f"{name}.tiktoken")
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def send(spark: SparkSession, path: str) -> None:
+    """Give the executors a vocabulary file, once per application, if the driver has it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+
+
 def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, offsets: bool = False) -> DataFrame:
     """(id, ids) of each document, without special tokens; with ``offsets`` also where each token's word begins.
 
@@ -237,36 +253,50 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", id_col: str = "do
     ordinary text.  Repeated ids are kept; other columns are ignored.
     """
     path = vocabulary(name, folder)
+    send(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ends, where = encode(b.column(1).to_pylist(), path)
-            cuts = pa.array(np.concatenate([[0], ends]).astype(np.int32), pa.int32())
-            out = [b.column(0), pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32()))]
-            if offsets:
-                out.append(pa.ListArray.from_arrays(cuts, pa.array(where.astype(np.int32), pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names=[id_col, "ids", "offsets"][: len(out)])
+            at = 0
+            for texts in by_size(b.column(1).to_pylist(), CHUNK):
+                ids, ends, where = encode(texts, path)
+                cuts = pa.array(np.concatenate([[0], ends]).astype(np.int32), pa.int32())
+                out = [b.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32()))]
+                at += len(texts)
+                if offsets:
+                    out.append(pa.ListArray.from_arrays(cuts, pa.array(where.astype(np.int32), pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, names=[id_col, "ids", "offsets"][: len(out)])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + (", offsets array<int>" if offsets else ""))
 
 
 def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """The columns ``keep`` and n_tokens (0 for null and empty texts)."""
+    """The columns ``keep``, n_tokens (0 for null and empty texts) and n_different, how many different tokens they are."""
     path = vocabulary(name, folder)
+    send(docs.sparkSession, path)
 
-    def run(values):
-        import pandas as pd
-
-        _, ends, _ = encode(values.tolist(), path)
-        return pd.Series(np.diff(np.concatenate([[0], ends])), dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, different = [], []
+            for texts in by_size(b.column(b.num_columns - 1).to_pylist(), CHUNK):
+                ids, ends, _ = encode(texts, path)
+                size = np.diff(np.concatenate([[0], ends]))
+                sizes.append(size)
+                of = np.repeat(np.arange(len(texts), dtype=np.int64), size) << 32
+                different.append(np.bincount(np.unique(of | ids) >> 32, minlength=len(texts)))
+            counts = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (sizes, different)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *counts], names=[*keep, "n_tokens", "n_different"])
 
-    return docs.select(*keep, F.pandas_udf(run, "bigint")(F.col(text_col).cast("string")).alias("n_tokens"))
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{schema}, n_tokens bigint, n_different bigint")
 
 
 def decode_corpus(encoded: DataFrame, name: str = "byte_bpe_50k", id_col: str = "doc_id", folder: str | None = None) -> DataFrame:
     """(id, text) back from (id, ids); an empty list gives the empty text."""
     path = vocabulary(name, folder)
+    send(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {i: raw for raw, i in merger(path).ranks.items()}
