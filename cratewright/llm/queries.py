@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewright.llm import canon, components, copies, language, lookalike, mixing, names, reading, survivor, tokens
-from cratewright.session import table
+from cratewright.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +74,29 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
+def p9_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What a mixture must hold, per target: checked from its rows."""
+    mixture, shares = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    mixture = cut(mixture)
+    copies = table(spark, d, "documents").where("text is not null").select(F.col("source").alias("source_name"), "doc_id", F.sha2("text", 256).alias("same"))
+    used = mixture.join(copies, ["source_name", "doc_id"]).groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("sum"), F.max("repeats").alias("most"), F.count_distinct("same").alias("n"), F.count(F.lit(1)).alias("rows"))
+    s = shares.join(used, "source_name", "left")
+    gap = F.col("budget") - F.col("tokens")
+    return s.select(
+        "source_name",
+        ((gap >= 0) & (F.col("tokens") == F.coalesce("sum", F.lit(0)))).alias("in_budget"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("in_repeats"),
+        F.coalesce(F.col("n") == F.col("rows"), F.lit(True)).alias("once_each"),
+        ((gap == 0) | F.col("smallest_left").isNull() | (F.col("smallest_left") > gap)).alias("filled"),
+    )
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.document_levels(table(spark, d, "documents"), table(spark, d, "reading_label")).select("doc_id", "reading_level")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_languages, p3_found, p3_normalised, p4_found, p5_found, p5_records, p6_found, p7_found, p7_unmatched, p8_ids, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_languages, p3_found, p3_normalised, p4_found, p5_found, p5_records, p6_found, p7_found, p7_unmatched, p8_ids, p9_mix, p9_shares, p9_audit, p10_found)}
 
 
 _DATE = """
@@ -110,6 +127,16 @@ SELECT group_id, field_name, entry_id FROM f
 QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY k DESC, entry_id) = 1
 """
 
+_FILLED = ("title", "artist", "album_title", "album_track", "loc_dir", "loc_file", "loc_volume", "audio_id", "modified_date", "modified_time", "bitrate", "genre", "info_key", "playtime", "playtime_float", "playcount", "ranking", "last_played", "import_date", "release_date", "comment2", "filesize", "bpm", "musical_key")
+_P1_SURVIVORS = _P1.replace("\nSELECT group_id, field_name, entry_id FROM f\n", f"""
+, g AS (SELECT f.group_id, f.field_name, CASE f.field_name WHEN 'ranking' THEN CAST(m.r AS VARCHAR) WHEN 'playcount' THEN CAST(m.p AS VARCHAR) ELSE CAST(m.d AS VARCHAR) END AS v FROM f JOIN m USING (group_id, entry_id)
+  QUALIFY row_number() OVER (PARTITION BY f.group_id, f.field_name ORDER BY k DESC, entry_id) = 1),
+e AS (SELECT entry_id, imported_at, CAST(contains(lower(coalesce(loc_dir, '')), '/:backups/:') = false AS INTEGER) AS trusted, {" + ".join(f"CASE WHEN trim({c}, ' ') <> '' THEN 1 ELSE 0 END" for c in _FILLED)} AS complete FROM nml_entry),
+b AS (SELECT m.group_id, e.* FROM m JOIN e USING (entry_id) QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY complete DESC, trusted DESC, imported_at DESC NULLS LAST, entry_id) = 1)
+SELECT b.group_id, b.entry_id AS survivor_id, CAST(b.complete AS INTEGER) AS complete, b.trusted, max(v) FILTER (WHERE field_name = 'ranking') AS ranking, max(v) FILTER (WHERE field_name = 'playcount') AS playcount, max(v) FILTER (WHERE field_name = 'last_played') AS last_played
+FROM b LEFT JOIN g USING (group_id) GROUP BY ALL
+""").replace("QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY k DESC, entry_id) = 1\n", "")
+
 _P5_KEYS = """
 k AS (
   SELECT entry_id, regexp_replace(upper(lower(artist)), '[^\\p{L}\\p{N}]', '', 'g') AS a, regexp_replace(upper(lower(title)), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM nml_entry),
@@ -129,6 +156,8 @@ SELECT v AS entry_id, min(w) AS group_id FROM reach GROUP BY v
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_survivors": _P1_SURVIVORS,
+        "p9_audit": "SELECT DISTINCT source_name, true AS in_budget, true AS in_repeats, true AS once_each, true AS filled FROM mix_target WHERE source_name IS NOT NULL",
         "p5_found": f"WITH {_P5_KEYS.strip()} SELECT group_id, entry_id FROM c WHERE copies > 1",
         "p5_records": f"WITH {_P5_KEYS.strip()} SELECT DISTINCT group_id, copies FROM c",
         "p6_found": _P6,

@@ -58,8 +58,11 @@ def calendar_date(text: Column, first: str = FIRST_DAY, last: str = LAST_DAY) ->
     return F.when(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), day)
 
 
-def members_with_values(members: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per group member that exists, with its valid values.
+FIELDS = ("ranking", "playcount", "last_played")
+
+
+def members_with_values(members: DataFrame, entries: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """One row per group member that exists, with its valid values, and the columns ``more`` of its entry.
 
     Repeated members count once; members without entry, and rows whose group or
     entry is null, are left out.  Other columns of either table are ignored, so
@@ -71,33 +74,40 @@ def members_with_values(members: DataFrame, entries: DataFrame) -> DataFrame:
         ranking_value(F.col("ranking")).alias("ranking"),
         playcount_value(F.col("playcount")).alias("playcount"),
         calendar_date(F.col("last_played")).alias("last_played"),
+        *(more or []),
     )
     return m.join(e, "entry_id")
 
 
-def best_fields(members: DataFrame, entries: DataFrame) -> DataFrame:
-    """For each group and field: the member whose value the survivor takes.
-
-    Result: group_id, field_name, entry_id, value (string).  A group without a
-    valid value of a field has no row for it; empty tables give an empty result.
-    ``playcount``: the greatest; ``last_played``: the latest; ``ranking``: that
-    of the entry played last (invalid dates before all dates).  Ties: smallest
-    entry_id.
-    """
-    rows = members_with_values(members, entries)
+def _tops(rows: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """The first candidate of each group and field: by falling weight, then the smallest entry_id."""
     day = F.datediff(F.col("last_played"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    none = F.lit(0).cast("bigint")
 
     def candidate(field: str, order: Column) -> Column:
-        return F.struct(F.lit(field).alias("field_name"), order.alias("weight"), F.col(field).cast("string").alias("value"))
+        return F.struct(F.lit(field).alias("field_name"), F.struct(order.alias("a"), none.alias("b"), none.alias("c")).alias("weight"), F.col(field).cast("string").alias("value"))
 
     candidates = F.array(
         candidate("ranking", F.coalesce(day, F.lit(-(10**9)).cast("bigint"))),
         candidate("playcount", F.col("playcount")),
         candidate("last_played", day),
+        *(more or []),
     )
     long = rows.select("group_id", "entry_id", F.inline(F.filter(candidates, lambda c: c["value"].isNotNull())))
     top = Window.partitionBy("group_id", "field_name").orderBy(F.desc("weight"), F.asc("entry_id"))
-    return long.withColumn("_rank", F.row_number().over(top)).where("_rank = 1").select("group_id", "field_name", "entry_id", "value")
+    return long.withColumn("_rank", F.row_number().over(top)).where("_rank = 1")
+
+
+def best_fields(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """For each group and field: the member whose value the survivor takes.
+
+    Result: group_id, field_name, entry_id, value (string).  A group without a
+    valid value of a field has no row for it; empty tables give an empty result.
+    ``playcount``: the greatest; ``last_played``: the latest; ``ranking``: that
+    of the entry played last (invalid dates before all dates).  Ties: smallest
+    entry_id.
+    """
+    return _tops(members_with_values(members, entries)).select("group_id", "field_name", "entry_id", "value")
 
 
 def survivors(members: DataFrame, entries: DataFrame, trusted: Column | None = None) -> DataFrame:
@@ -105,15 +115,19 @@ def survivors(members: DataFrame, entries: DataFrame, trusted: Column | None = N
 
     The base entry is the most complete one, then the trusted one (by default a
     path outside a backup folder), then the one imported last, then the smallest
-    entry_id.
+    entry_id.  It is chosen in the same pass as the fields.
     """
     skip = {"entry_id", "cues", "imported_at"}
     filled = [F.when(F.trim(F.col(f"`{c}`")) != "", 1).otherwise(0) for c, t in entries.dtypes if t == "string" and c not in skip]
-    complete = sum(filled[1:], filled[0])
     trusted = ~F.coalesce(F.lower("loc_dir"), F.lit("")).contains("/:backups/:") if trusted is None else trusted
-    e = entries.select("entry_id", complete.alias("complete"), trusted.cast("int").alias("trusted"), "imported_at")
-    m = members.select("group_id", "entry_id").where("group_id is not null and entry_id is not null").distinct()
-    order = Window.partitionBy("group_id").orderBy(F.desc("complete"), F.desc("trusted"), F.desc_nulls_last("imported_at"), F.asc("entry_id"))
-    base = m.join(e, "entry_id").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("group_id", F.col("entry_id").alias("survivor_id"), "complete", "trusted")
-    fields = best_fields(members, entries).groupBy("group_id").pivot("field_name", ["ranking", "playcount", "last_played"]).agg(F.first("value"))
-    return base.join(fields, "group_id", "left")
+    more = [sum(filled[1:], filled[0]).alias("_complete"), trusted.cast("int").alias("_trusted"), F.coalesce(F.unix_micros(F.col("imported_at").cast("timestamp")), F.lit(-(1 << 62))).alias("_at")]
+    big = lambda c: F.col(c).cast("bigint")
+    base = F.struct(F.lit("base").alias("field_name"), F.struct(big("_complete").alias("a"), big("_trusted").alias("b"), big("_at").alias("c")).alias("weight"), F.lit("").alias("value"))
+    tops = _tops(members_with_values(members, entries, more), [base])
+    of = lambda field, value: F.max(F.when(F.col("field_name") == field, value))
+    return tops.groupBy("group_id").agg(
+        of("base", F.col("entry_id")).alias("survivor_id"),
+        of("base", F.col("weight.a")).cast("int").alias("complete"),
+        of("base", F.col("weight.b")).cast("int").alias("trusted"),
+        *(of(f, F.col("value")).alias(f) for f in FIELDS),
+    )

@@ -259,6 +259,22 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
 
 
+def test_rest_is_filled_in_key_order(spark):
+    rng = random.Random(11)
+    rows = [(s, i, rng.choice((1, 2, 3, 7, 30, 200)), rng.expovariate(1) / rng.choice((0.05, 1))) for s in ("a", "b", "c") for i in range(400)]
+    df = spark.createDataFrame(rows, "source_name string, doc_id bigint, n_tokens bigint, key double").withColumn("bin", F.floor(F.log("key") * 3).cast("int"))
+    for rest in (0, 1, 5, 999, 3000, 10**9):
+        rests = spark.createDataFrame([("a", rest), ("b", rest // 2), ("gone", 5)], "source_name string, rest bigint")
+        got = sorted((r.source_name, r.doc_id) for r in mixing._part_of_an_epoch(df, rests).collect())
+        want = []
+        for s, room in (("a", rest), ("b", rest // 2)):
+            for _, i, n, _ in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[1])):
+                if n <= room:
+                    room -= n
+                    want.append((s, i))
+        assert got == sorted(want)
+
+
 # ---- reading level
 
 
