@@ -193,7 +193,12 @@ def test_symmetric_deletes_miss_nothing():
 def test_map_values(spark):
     ref = spark.createDataFrame([(1, "Ambient", ["atmospheric"]), (7, "Drum and Bass", None), (9, "Singer-Songwriter", []), (3, "Ambient", []), (4, "Folk", [])], "genre_id bigint, genre_name string, aliases array<string>")
     cases = {"ambient": 1, "AMBIENT (club)": 1, " Ambeint.": 1, "drum & bass": 7, "DrumAndBass": 7, "Singer/Songwriter": 9, "Folk / Ambient": 1, "xyzzy": 0, "genre: fokl": 4, "": 0, " ": 0, None: 0, "q" * 5000: 0, "classicFolkmusic": 4}
+    # Words around a value are learned where they stand beside three entries.
+    for name, ident in (("Ambient", 1), ("Drum and Bass", 7), ("Singer-Songwriter", 9), ("Folk", 4)):
+        cases |= {f"{name} (club)": ident, f"{name} music": ident, f"genre: {name}": ident, f"classic {name}": ident}
     df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "entry_id bigint, genre string").withColumn("genre_name", F.lit("clash"))
+    joined = {r.genre: r.mapped_id for r in canon.map_values(df, "genre", ref, "genre_id", "genre_name", "aliases", max_reference=0).collect()}
+    assert joined == cases
     got = {r.genre: r.mapped_id for r in canon.map_values(df, "genre", ref, "genre_id", "genre_name", "aliases").collect()}
     assert got == cases
     out = canon.to_map(df, ref)
