@@ -103,3 +103,7 @@ def theme_pairs() -> list[tuple[str, str, float]]:
             elif any(x & y for x in mine for y in theirs):
                 out.append((a, b, 0.5))
     return out
+
+
+# Artists whose names and titles are written in lower case.
+LOWERCASE_NAMES = ("of Montreal", "múm", "mind.in.a.box")

@@ -1,54 +1,27 @@
-"""Table functions for SQL: timed lines, estimated lines and the names a file may stand for."""
+"""Table functions for SQL, as SQL expressions: timed lines, lines of an untimed text, and the names a file may stand for."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 
-LRC = re.compile(r"^\[(\d+):(\d+\.\d+)\](.*)")
-DASH = re.compile(r"^(.+?)\s*[-–—]\s*(.+)$")
-
-
-class LrcLines:
-    """The timed lines of a text."""
-
-    def eval(self, text: str):
-        for line in (text or "").split("\n"):
-            m = LRC.match(line)
-            if m and m[3].strip():
-                yield (int(m[1]) * 60 + float(m[2])) * 1000, m[3].strip()
-
-
-class EstimatedLines:
-    """The lines of an untimed text, spread evenly over the time."""
+_TIME = r"'^\\[(\\d+):(\\d+\\.\\d+)\\](.*)'"
+_DASH = r"'^(.+?)\\s*[-–—]\\s*(.+)$'"
 
-    def eval(self, text: str, duration_ms: float):
-        body = re.sub(r"^\d+\s+Contributor[^\n]*\n?", "", text or "")
-        lines = [x for x in map(str.strip, body.split("\n")) if x and not re.match(r"^\[.*\]$", x)]
-        for i, line in enumerate(lines):
-            yield i * duration_ms / len(lines), line
-
-
-class NameCandidates:
-    """The (artist, title) pairs a file name without ending may stand for."""
-
-    def eval(self, stem: str):
-        m = DASH.match(stem or "")
-        if m:
-            yield m[1].strip(), m[2].strip()
-            yield m[2].strip(), m[1].strip()
-        elif stem:
-            yield "", stem.strip()
+FUNCTIONS = (
+    f"""lrc_lines(t STRING) RETURNS TABLE(ms DOUBLE, text STRING)
+    RETURN SELECT (CAST(regexp_extract(line, {_TIME}, 1) AS DOUBLE) * 60 + CAST(regexp_extract(line, {_TIME}, 2) AS DOUBLE)) * 1000, trim(regexp_extract(line, {_TIME}, 3))
+    FROM explode(filter(split(t, '\n'), x -> x RLIKE {_TIME} AND trim(regexp_extract(x, {_TIME}, 3)) <> '')) AS l(line)""",
+    r"""estimated_lines(t STRING, duration_ms DOUBLE) RETURNS TABLE(ms DOUBLE, text STRING)
+    RETURN SELECT pos * duration_ms / n, line
+    FROM (SELECT filter(transform(split(regexp_replace(t, '^\d+\s+Contributor[^\n]*\n?', ''), '\n'), x -> trim(x)), x -> x <> '' AND NOT x RLIKE '^\[.*\]$') AS ls) AS b,
+    LATERAL (SELECT size(b.ls) AS n) AS c, LATERAL posexplode(b.ls) AS l(pos, line)""",
+    f"""name_candidates(stem STRING) RETURNS TABLE(artist STRING, title STRING)
+    RETURN SELECT x.artist, x.title FROM explode(CASE WHEN stem RLIKE {_DASH} THEN array(named_struct('artist', trim(regexp_extract(stem, {_DASH}, 1)), 'title', trim(regexp_extract(stem, {_DASH}, 2))),
+      named_struct('artist', trim(regexp_extract(stem, {_DASH}, 2)), 'title', trim(regexp_extract(stem, {_DASH}, 1)))) WHEN stem <> '' THEN array(named_struct('artist', '', 'title', trim(stem))) END) AS l(x)""",
+)
 
 
 def register(spark: SparkSession) -> None:
     """Make lrc_lines, estimated_lines and name_candidates callable from SQL."""
-    from pyspark.sql.functions import udtf
-
-    from cratewright.session import ship
-
-    ship(spark)
-    spark.udtf.register("lrc_lines", udtf(LrcLines, returnType="ms double, text string"))
-    spark.udtf.register("estimated_lines", udtf(EstimatedLines, returnType="ms double, text string"))
-    spark.udtf.register("name_candidates", udtf(NameCandidates, returnType="artist string, title string"))
+    for f in FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}")

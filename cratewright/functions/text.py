@@ -36,7 +36,7 @@ DECADE = r"(?i)^\d0'?s\s+"
 DECADE_DASH = r"(?i)^(\d{2}'?s)[-]\s*(.+)$"
 COLLABORATION = r"(?i)^(.+?)\s+(?:feat\.?|ft\.?|featuring|with|w/)\s+.+$"
 AMPERSAND = r"(?i)^(.+?)\s+(?:&|and)\s+.+$"
-NOT_A_SONG_FILE = r"(?i)(loop.?recorder|recording\s+\d{4}[-_]\d{2}[-_]\d{2}|\d{4}-\d{2}-\d{2}\s+\d{2}-\d{2}-\d{2}|closer.to.spice|soylent.green)"
+NOT_A_SONG_FILE = r"(?i)(loop.?recorder|recording\s+\d{4}[-_]\d{2}[-_]\d{2}|\d{4}-\d{2}-\d{2}\s+\d{2}-\d{2}-\d{2})"
 NOT_A_SONG_TITLE = r"(?i)^(loop.?recorder|recording\s+\d{4}|intro|track\s+\d+|track.by.track.*intro|\(\d+\)\s+(synth|organ))"
 INSTRUMENTAL = r"(?i)\b(instrumental|inst\.?|no[ -]?vocals?|karaoke|ambient\s+mix|dub\s+mix)\b"
 UNSAFE = '\\/:*?"<>|'
@@ -216,13 +216,27 @@ def plausible_artist(name: Column) -> Column:
     return (F.length(n).between(3, 60)) & ~n.rlike(r"^\d+$") & ~n.rlike(PLACEHOLDER_TITLE)
 
 
-def not_a_song(path_stem: Column, seconds: Column, title: Column, most: int = 30) -> Column:
-    """Why a record is no song, the first reason that holds; null if none does."""
-    return (
-        F.when((seconds > 0) & (seconds <= most), "short")
-        .when(path_stem.rlike(NOT_A_SONG_FILE), "file name")
-        .when((title != "") & title.rlike(NOT_A_SONG_TITLE), "title")
-    )
+def not_a_song(path_stem: Column, seconds: Column, title: Column, most: int = 30, names: tuple[str, ...] = ()) -> Column:
+    """Why a record is no song, the first reason that holds; null if none does.  ``names``: further patterns of file names that are none."""
+    named = path_stem.rlike(NOT_A_SONG_FILE)
+    for pattern in names:
+        named = named | path_stem.rlike(f"(?i){pattern}")
+    return F.when((seconds > 0) & (seconds <= most), "short").when(named, "file name").when((title != "") & title.rlike(NOT_A_SONG_TITLE), "title")
+
+
+def is_invented(transcript: Column, least: int = 20) -> Column:
+    """Whether a transcript is what a speech model writes for silence: too short, or thanks over and over."""
+    t = F.trim(F.coalesce(transcript, F.lit("")))
+    return (F.length(t) < least) | t.rlike(r"(?i)^(Thank you\.?\s*)+$")
+
+
+def allowed_only(values: Column, allowed: tuple[str, ...]) -> Column:
+    """The values of an array that are in a fixed list, in their order; an empty array for null."""
+    return F.coalesce(F.filter(values, lambda v: v.isin(*allowed)), F.array().cast("array<string>"))
+
+
+def allowed_or_blank(value: Column, allowed: tuple[str, ...]) -> Column:
+    return F.when(value.isin(*allowed), value).otherwise("")
 
 
 def is_live(title: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cratewright.functions import paths
 from cratewright.functions.lookups import FORMAT_RANK
 from cratewright.operators.graph import components
-from cratewright.session import cut
+from cratewright.operators.rank import placed
+from cratewright.session import cut, release
 
 
 def format_rank(path: Column) -> Column:
@@ -32,10 +33,11 @@ def keep_best(df: DataFrame, keys: list[Column | str], order: list[Column]) -> D
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def losers(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
-    """All rows but the first of each group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
+def losers(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """All rows but the first of each group; they are told by the first row itself, so no group is sorted in one task."""
+    best = keep_best(df, keys, order).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*df.columns).alias("_winner"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(best, same).where(~F.struct(*df.columns).eqNullSafe(F.col("_winner"))).select(df.columns)
 
 
 def winners_of_losers(df: DataFrame, keys: list[str], order: list[Column], ident: str) -> DataFrame:
@@ -159,11 +161,12 @@ def fuzzy_pairs(names: DataFrame, name: str, count: str, most: int) -> DataFrame
     return ordered.select(F.when(frequent, F.col("b.x")).otherwise(F.col("a.x")).alias("rare"), F.when(frequent, F.col("a.x")).otherwise(F.col("b.x")).alias("frequent"), F.col("d").alias("distance"))
 
 
-def numbered_names(df: DataFrame, base: Column, order: list[Column], taken: DataFrame | None = None, suffix: str = "") -> DataFrame:
+def numbered_names(df: DataFrame, base: Column, order: list[Column | str], taken: DataFrame | None = None, suffix: str = "") -> DataFrame:
     """Add ``name``: the base, or base_2, base_3 and so on in order of arrival where it is used again.
 
     Names already ``taken`` (column name) count as used first.  Repeated until no
-    two are the same, as a base may itself end in a number.
+    two are the same, as a base may itself end in a number; each round starts
+    from the table of the one before.
     """
     out = df.withColumn("name", base)
     if taken is not None:
@@ -171,9 +174,12 @@ def numbered_names(df: DataFrame, base: Column, order: list[Column], taken: Data
         out = out.join(used, "name", "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
     else:
         out = out.withColumn("_used", F.lit(0))
+    last = None
     while True:
-        n = F.row_number().over(Window.partitionBy("name").orderBy(*order)) + F.col("_used")
-        out = out.withColumn("_n", n).withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col("name"))).drop("_n")
-        out = out.withColumn("_used", F.lit(0))
-        if out.groupBy("name").count().where("count > 1").isEmpty():
+        n = F.col("_n") + F.col("_used")
+        named = placed(out, ["name"], order, "_n").withColumn("name", F.when(n > 1, F.concat("name", F.lit("_"), n.cast("string"))).otherwise(F.col("name")))
+        out = cut(named.drop("_n").withColumn("_used", F.lit(0)))
+        release(last)
+        last = out
+        if out.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return out.withColumn("name", F.concat("name", F.lit(suffix))).drop("_used")

@@ -94,14 +94,61 @@ def fill_from_siblings(df: DataFrame, group: list[str], value: str, order: list[
 def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, start: str, value: str) -> DataFrame:
     """Each point takes the value of the last mark at or before it.
 
-    Both sides are interleaved and carried forward in one sort, instead of a
-    join on ranges.
+    Both sides are interleaved, sorted by range and carried forward within each
+    part; the last value of a key in a part is carried on to the next parts of
+    that key, so a key with most of the rows is spread over many tasks.  Of marks
+    at one time the greatest value counts.
     """
+    from cratewright.session import cut
+
     p = points.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("_v"))
     m = marks.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(m).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").select("_row.*", F.col("_last").alias(value))
+    rows = cut(p.unionByName(m).repartitionByRange(*keys, "_t", "_side").withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p", *keys).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    # One row per key and part; a key has as many as parts it spans.
+    ends = rows.groupBy(*keys, "_p").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_side", "_v"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).where("_carried is not null").select(*keys, "_p", "_carried")
+    both = inner.where("_side = 1").join(carried, [*keys, "_p"], "left")
+    return both.select("_row.*", F.coalesce("_last", "_carried").alias(value))
+
+
+def hits_and_misses(df: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key was looked up, rows whose key was not)."""
+    return df.join(cache.select(key), key, "left_semi"), df.join(cache.select(key), key, "left_anti")
+
+
+def flagged(df: DataFrame, known: DataFrame, key: str, flag: str) -> DataFrame:
+    """Add whether the row's key is in another table; no row is multiplied."""
+    return df.join(known.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(old, new): two renames one after the other; what only one of them moves is kept."""
+    a = first.select("old", F.col("new").alias("_mid"))
+    b = second.select(F.col("old").alias("_mid"), F.col("new").alias("_end"))
+    both = a.join(b, "_mid", "left").select("old", F.coalesce("_end", "_mid").alias("new"))
+    return both.unionByName(second.select("old", "new").join(first.select("old"), "old", "left_anti"))
+
+
+def transplant(df: DataFrame, donors: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """A whole column (such as an array of cues) taken from the donor with the same key where there is one; ``transplanted`` tells where."""
+    d = donors.select(*keys, F.col(column).alias("_new"), F.lit(True).alias("_hit"))
+    out = df.join(d, keys, "left").withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column)))
+    return out.withColumn("transplanted", F.coalesce("_hit", F.lit(False))).drop("_new", "_hit")
+
+
+def overwritten(df: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
+    """One row: how many rows an update would write, how many of these had a value before, and how many it leaves alone."""
+    u = updates.where(F.coalesce(F.col(column), F.lit("")) != "").select(key).distinct().withColumn("_u", F.lit(True))
+    hit, had = F.coalesce(F.col("_u"), F.lit(False)), F.coalesce(F.trim(F.col(column)), F.lit("")) != ""
+    return df.join(u, key, "left").agg(F.count_if(hit).alias("written"), F.count_if(hit & had).alias("already"), F.count_if(~hit).alias("skipped"))
+
+
+def only_missing(index: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """An index with the entries of another one that it lacks; its own are never replaced."""
+    return index.unionByName(found.select(*index.columns).join(index.select(key), key, "left_anti"))
 
 
 def set_change(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -119,3 +119,23 @@ def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Add ``batch``: rows in order, ``size`` to a batch."""
     return numbered(df, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
+
+
+def placed(df: DataFrame, keys: list[str], order: list[Column | str], out: str) -> DataFrame:
+    """Add the place of each row within its key, from 1; rows are sorted by range, so one large key is spread over many tasks."""
+    rows = numbered(df.withColumn("_at", F.struct(*keys, *order)), "_at", "_pos").drop("_at")
+    starts = rows.groupBy(*keys).agg(F.min("_pos").alias("_start"))
+    return rows.join(starts, keys).withColumn(out, (F.col("_pos") - F.col("_start") + 1).cast("int")).drop("_pos", "_start")
+
+
+def best_of_paths(df: DataFrame, paths: str, scores: DataFrame, out: str) -> DataFrame:
+    """Add the greatest score of the paths in an array column, 0 if none has one; scores: (path, score)."""
+    wanted = df.select(paths).distinct().withColumn("path", F.explode(paths))
+    best = wanted.join(scores.select("path", "score"), "path").groupBy(paths).agg(F.max("score").alias(out))
+    return df.join(best, paths, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """The struct (pct, per_second, eta_s) of a job: share done to one decimal, rows a second, seconds to go; null rate before anything is done."""
+    rate = F.when((seconds > 0) & (done > 0), done / seconds)
+    return F.struct(F.bround(F.when(total > 0, done * 100.0 / total).otherwise(0.0), 1).alias("pct"), F.bround(rate, 2).alias("per_second"), F.bround((total - done) / rate, 0).alias("eta_s"))

@@ -103,7 +103,7 @@ def keep_best_key(spark: SparkSession, d: str) -> DataFrame:
 @query(_KEYED + f"SELECT k, entry_id FROM n QUALIFY {_BEST} > 1")
 def removals(spark: SparkSession, d: str) -> DataFrame:
     e, order = _keyed(spark, d)
-    return dedup.losers(e, ["k"], order).select("k", "entry_id")
+    return dedup.losers(e.select("k", "entry_id", "path", "bitrate"), ["k"], order).select("k", "entry_id")
 
 
 @query(_KEYED + f"""
@@ -170,7 +170,7 @@ WITH b AS (SELECT p_partkey, lower(p_name) AS base, row_number() OVER (PARTITION
 SELECT p_partkey, CASE WHEN n > 1 THEN base || '_' || CAST(n AS VARCHAR) ELSE base END || '.mp3' AS name FROM b
 """)
 def collision_suffix(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.numbered_names(table(spark, d, "part"), F.lower("p_name"), [c("p_partkey")], suffix=".mp3").select("p_partkey", "name")
+    return dedup.numbered_names(table(spark, d, "part"), F.lower("p_name"), ["p_partkey"], suffix=".mp3").select("p_partkey", "name")
 
 
 # ---- ratings, histograms, coverage

@@ -22,14 +22,14 @@ def filter_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT entry_id, CASE WHEN regexp_full_match(playtime, '\\d+') THEN coalesce(try_cast(playtime AS INTEGER), 0) ELSE 0 END AS s, coalesce(title, '') AS title, regexp_replace(loc_file, '(.)\\.[^.]*$', '\\1') AS stem FROM nml_entry)
-SELECT entry_id, CASE WHEN s > 0 AND s <= 30 THEN 'short' WHEN regexp_matches(stem, '(?i)(loop.?recorder|recording\\s+\\d{4}[-_]\\d{2}[-_]\\d{2}|\\d{4}-\\d{2}-\\d{2}\\s+\\d{2}-\\d{2}-\\d{2}|closer.to.spice|soylent.green)') THEN 'file name'
+SELECT entry_id, CASE WHEN s > 0 AND s <= 30 THEN 'short' WHEN regexp_matches(stem, '(?i)(loop.?recorder|recording\\s+\\d{4}[-_]\\d{2}[-_]\\d{2}|\\d{4}-\\d{2}-\\d{2}\\s+\\d{2}-\\d{2}-\\d{2}|lost.tape)') THEN 'file name'
   WHEN title <> '' AND regexp_matches(title, '(?i)^(loop.?recorder|recording\\s+\\d{4}|intro|track\\s+\\d+|track.by.track.*intro|\\(\\d+\\)\\s+(synth|organ))') THEN 'title' END AS reason FROM e
 """)
 def reason_cascade(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry")
     seconds = F.when(c("playtime").rlike(r"^\d+$"), F.coalesce(c("playtime").try_cast("int"), F.lit(0))).otherwise(0)
     stem = F.regexp_replace("loc_file", r"(?<=.)\.[^.]*$", "")
-    return e.select("entry_id", text.not_a_song(stem, seconds, F.coalesce("title", F.lit(""))).alias("reason"))
+    return e.select("entry_id", text.not_a_song(stem, seconds, F.coalesce("title", F.lit("")), names=("lost.tape",)).alias("reason"))
 
 
 LIVE_SQL = "(?i)(\\(live\\b|\\[live\\b|\\blive\\s+at\\b|\\blive\\s+in\\b|\\blive\\s+from\\b|\\blive\\s*-|-\\s*live\\b|\\(unplugged\\b|\\[unplugged\\b|\\bunplugged\\s+version\\b|\\bbbc\\s+(?:radio|session)\\b|\\blive\\s+audio\\b|\\blive\\s+recording\\b|\\blive\\s+version\\b|\\blive\\s+session\\b|\\blive\\s+performance\\b)"

@@ -79,6 +79,25 @@ def tracks(entries: DataFrame) -> DataFrame:
     )
 
 
+def tracks_or_list(spark: SparkSession, path: str, fallback: str) -> DataFrame:
+    """(path, artist, title, key) of a collection, or of a JSON list of (artist, title, dkey) if there is no collection; a key stands for the missing path.
+
+    Tracks without artist and title are left out; neither file gives no rows.
+    """
+    from cratewright.functions import keys
+    from cratewright.operators.library import named
+    from cratewright.session import exists
+
+    if exists(spark, path) or not exists(spark, fallback):
+        rows = tracks(read_entries(spark, path)) if exists(spark, path) else spark.createDataFrame([], "path string, artist string, title string")
+        return named(rows).select("path", "artist", "title", keys.version_key(F.col("artist"), F.col("title")).alias("key"))
+    raw = spark.read.schema("artist string, title string, dkey string").option("multiLine", "true").json(fallback)
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    rows = named(raw.select(text("artist").alias("artist"), text("title").alias("title"), "dkey"))
+    key = F.coalesce(F.nullif(F.col("dkey"), F.lit("")), keys.version_key(F.col("artist"), F.col("title")))
+    return rows.select(key.alias("path"), "artist", "title", key.alias("key"))
+
+
 def complete_tracks(t: DataFrame) -> DataFrame:
     """Records with title, artist, path, play time, tempo and key; the key comes from either field."""
     key = F.coalesce(F.nullif(F.trim("musical_key"), F.lit("")), F.nullif(F.trim("key"), F.lit("")))

@@ -54,3 +54,13 @@ def test_small_stages(spark):
     assert rows(stages.consolidate(g, "g", spark.createDataFrame([("Dark", "Rock")], "raw string, canonical string"), ["Rock"]), "i", "g", "changed") == [(1, "Rock", True), (2, "Rock", False)]
     with pytest.raises(ValueError):
         stages.consolidate(g, "g", spark.createDataFrame([("Rock", "Rock")], "raw string, canonical string"), ["Rock"])
+
+
+def test_suggestions_with_large_numbers(spark):
+    from cratewright.plans import suggest
+
+    rows = [(i + (1 << 40) * (i % 2), f"/p{i}", f"artist {i}", f"t{i}", "EBM", 120.0, "1d", 3, "") for i in range(4)]
+    t = spark.createDataFrame(rows, "idx bigint, path string, artist string, title string, genre string, bpm double, key string, stars int, theme string")
+    got = suggest.lock(t, t.where("path = '/p0'")).orderBy("place").collect()
+    assert [r.path for r in got] == ["/p2", "/p1", "/p3"]
+    assert suggest.lock(t.limit(0), t.limit(0)).count() == 0

@@ -112,11 +112,11 @@ def test_planner(spark):
     assert p.setlist().count() == 0
 
 
-def test_suggestions_in_blocks_are_the_same(spark, monkeypatch):
+def test_suggestions_by_exchange_are_the_same(spark, monkeypatch):
     from cratewright.plans import suggest
 
     tracks = spark.createDataFrame([(i, f"/p{i:02d}", f"A{i % 5}", f"T{i}", "EBM" if i % 2 else "Darkwave", 118.0 + i % 9, f"{i % 12 + 1}d", i % 6, "") for i in range(30)], "idx bigint, path string, artist string, title string, genre string, bpm double, key string, stars int, theme string")
     whole = sorted(suggest.lock(tracks, tracks.where("idx < 12")).collect())
-    monkeypatch.setattr(suggest, "MAX_ANCHORS", 4)
+    monkeypatch.setattr(suggest, "FEW", 0)
     assert sorted(suggest.lock(tracks, tracks.where("idx < 12")).collect()) == whole and len(whole) > 12
     assert suggest.rescue(tracks, tracks.where("idx < 12")).select("anchor").distinct().count() == 12
