@@ -111,3 +111,26 @@ def grouped_words(df: DataFrame, key: str, pos: str, word: str, start: str, most
 
     lines = F.aggregate("ws", F.array().cast(kind), add)
     return words.select(key, F.posexplode(lines).alias("line", "x")).select(key, "line", F.col("x.s").alias("start"), F.col("x.t").alias("text"))
+
+
+def set_list(df: DataFrame, key: str, order: list[str], path: str, reset: Column) -> DataFrame:
+    """(key, night, n, path, first columns of ``order``): what was played since the last reset, each path once a night, in order."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    nights = df.select(key, *order, path, F.coalesce(reset, F.lit(False)).alias("_reset")).withColumn("night", F.sum(F.col("_reset").cast("int")).over(w))
+    first = nights.where(~F.col("_reset") & F.col(path).isNotNull()).groupBy(key, "night", path).agg(F.min(F.struct(*order)).alias("_at"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy(key, "night").orderBy("_at"))).select(key, "night", "n", path, "_at.*")
+
+
+def history_tail(df: DataFrame, file: str, read: str, deck: str, song: str, started: str, order: str, age_seconds: str, fresh: int = 4 * 3600) -> DataFrame:
+    """(file, read, deck, song, started): what a tail of history files reports.
+
+    Rows are the entries a read of a file showed.  The first read of a file only
+    reports the latest entry of each deck, and nothing if the file was not
+    written for ``fresh`` seconds; later reads report entries not shown before.
+    """
+    first = df.groupBy(file).agg(F.min(read).alias("_first"))
+    shown = df.groupBy(file, deck, song, started).agg(F.min(read).alias(read)).join(first, file)
+    later = shown.where(F.col(read) > F.col("_first")).select(file, read, deck, song, started)
+    start = df.join(first, file).where((F.col(read) == F.col("_first")) & (F.col(age_seconds) < fresh))
+    latest = start.groupBy(file, read, deck).agg(F.max_by(F.struct(song, started), order).alias("_x")).select(file, read, deck, "_x.*")
+    return latest.unionByName(later)

@@ -52,12 +52,14 @@ def path_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH t AS (SELECT entry_id, {low_sql("artist")} AS a, coalesce(title, '') AS title FROM nml_entry)
 SELECT entry_id, a || chr(9) || {low_sql("title")} AS song, a || chr(9) || {low_sql("regexp_replace(title, '\\s*[\\(\\[][^)\\]]*[\\)\\]]', '', 'g')")} AS bare,
-  a || chr(9) || {low_sql("regexp_replace(title, '(?s)\\s*[\\(\\[].*', '')")} AS cut, regexp_replace(a, '^(the|a|an) ', '') AS artist_bare FROM t
+  a || chr(9) || {low_sql("regexp_replace(title, '(?s)\\s*[\\(\\[].*', '')")} AS cut, regexp_replace(a, '^(the|a|an) ', '') AS artist_bare,
+  a || chr(9) || {low_sql("regexp_replace(title, '\\s*[\\(\\[][^\\n\\r]{0,40}[\\)\\]]\\s*$', '')")} AS version, a || chr(9) || {low_sql("regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', '')")} AS base,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '^(the|a|an)\\s+', ''), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s\\p{{Z}}]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ') AS loose FROM t
 """)
 def song_keys(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry")
     a, t = c("artist"), c("title")
-    return e.select("entry_id", keys.song_key(a, t).alias("song"), keys.bare_key(a, t).alias("bare"), keys.cut_key(a, t).alias("cut"), keys.without_article(a).alias("artist_bare"))
+    return e.select("entry_id", keys.song_key(a, t).alias("song"), keys.bare_key(a, t).alias("bare"), keys.cut_key(a, t).alias("cut"), keys.without_article(a).alias("artist_bare"), keys.version_key(a, t).alias("version"), keys.base_key(a, t).alias("base"), keys.loose_name(t).alias("loose"))
 
 
 # ---- keep-best deduplication
@@ -243,11 +245,14 @@ def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT artist AS name, count(*) AS n FROM nml_entry WHERE trim(artist) <> '' GROUP BY 1),
-b AS (SELECT lower(trim(name)) AS k, arg_min(name, {'u': CASE WHEN regexp_matches(name, '^\\p{Lu}') THEN 0 ELSE 1 END, 'n': -n, 'x': name}) AS best, count(*) AS c FROM n GROUP BY 1)
+v AS (SELECT lower(trim(artist)) AS k, arg_min(artist, {'n': -c, 'x': artist}) AS vote FROM (SELECT artist, count(*) AS c FROM artist_credit WHERE artist IS NOT NULL GROUP BY 1) GROUP BY 1),
+b0 AS (SELECT lower(trim(name)) AS k, arg_min(name, {'u': CASE WHEN regexp_matches(name, '^\\p{Lu}') THEN 0 ELSE 1 END, 'n': -n, 'x': name}) AS best, count(*) AS c FROM n GROUP BY 1),
+b AS (SELECT b0.k, coalesce(v.vote, b0.best) AS best, c FROM b0 LEFT JOIN v USING (k))
 SELECT n.name, b.best AS canonical FROM n JOIN b ON b.k = lower(trim(n.name)) WHERE c > 1 AND n.name <> b.best
 """)
 def canonical_vote(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.canonical_names(_artist_counts(spark, d))
+    votes = table(spark, d, "artist_credit").where("artist is not null").groupBy(c("artist").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return normalize.canonical_names(_artist_counts(spark, d), votes)
 
 
 def _artist_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -351,9 +356,9 @@ def outcome_balance(spark: SparkSession, d: str) -> DataFrame:
     return changes.balance(three_way_classify(spark, d), "outcome")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return joins.without(table(spark, d, "customer"), table(spark, d, "orders").select(c("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
+    return joins.without(table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 400000").select(c("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT entry_id FROM nml_entry WHERE entry_id NOT IN (SELECT entry_id FROM history_row WHERE entry_id IS NOT NULL)")
@@ -392,12 +397,12 @@ def set_ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O')
+WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'came' ELSE 'went' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
 """)
 def set_change(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return joins.set_change(li.where("l_returnflag = 'R'").select(c("l_partkey").alias("k")), li.where("l_linestatus = 'O'").select(c("l_partkey").alias("k")), "k")
+    li = table(spark, d, "lineitem").where("l_quantity > 45").withColumnRenamed("l_partkey", "k")
+    return joins.set_change(li.where("l_returnflag = 'R'").select("k"), li.where("l_linestatus = 'O'").select("k"), "k")
 
 
 _RENAMES = ((1, "/crates/main/The Purnvilbrik Mosaic", "/crates/main/Mosaic"), (2, "/crates/main", "/music"), (3, "/crates", "/attic"))
@@ -481,11 +486,19 @@ def rebuild_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return _rebuilt(spark, d)[2]
 
 
-@query()
+_REBUILT = f"""
+WITH {_PATHS}, s AS (SELECT group_id, entry_id, min(sha) AS sha FROM dedup_member WHERE group_id IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT p.entry_id AS entry_idx, p.path, s.sha, CAST(len(n.cues) AS INTEGER) AS richness, CASE WHEN starts_with(p.path, '/crates/main/') THEN '/music' || substring(p.path, 13) END AS mapped FROM p JOIN nml_entry n USING (entry_id) LEFT JOIN s USING (entry_id)),
+y AS (SELECT *, CASE WHEN mapped IS NOT NULL THEN 'remap' WHEN starts_with(path, '/crates/inbox/') THEN 'keep' END AS outcome, coalesce(sha, 'entry ' || CAST(entry_idx AS VARCHAR)) AS content, coalesce(mapped, path) AS new_path FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY richness DESC, entry_idx) AS rn, first_value(new_path) OVER (PARTITION BY content ORDER BY CASE WHEN outcome = 'remap' THEN 0 ELSE 1 END, entry_idx) AS target FROM y WHERE outcome IS NOT NULL)
+"""
+
+
+@query(_REBUILT + "SELECT entry_idx, sha, outcome, target AS path FROM z WHERE rn = 1")
 def rebuild_kept(spark: SparkSession, d: str) -> DataFrame:
     return _rebuilt(spark, d)[0]
 
 
-@query()
+@query(_REBUILT + ", moved AS (SELECT path, min(target) AS target FROM z GROUP BY 1) SELECT CAST(h.session_id AS VARCHAR) AS playlist, h.row_id AS pos, m.target AS path FROM history_row h JOIN p ON p.entry_id = h.entry_id JOIN moved m ON m.path = p.path")
 def rebuild_refs(spark: SparkSession, d: str) -> DataFrame:
     return _rebuilt(spark, d)[1]

@@ -188,3 +188,26 @@ SELECT vec_id, CAST(min(i) AS INTEGER) AS i FROM f WHERE v > 0.1 GROUP BY vec_id
 def first_frame_above(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     return f.where(F.col("v") > F.lit(0.1)).groupBy("vec_id").agg(F.min("i").alias("i"))
+
+
+@query(f"""
+WITH n AS (SELECT user_id, ts, event_id, event_type, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS night, CAST(value AS INTEGER) // 20 AS path FROM events),
+f AS (SELECT user_id, night, path, min({{'t': ts, 'e': event_id}}) AS at FROM n WHERE event_type <> 'signup' AND path IS NOT NULL GROUP BY ALL)
+SELECT user_id, night, CAST(row_number() OVER (PARTITION BY user_id, night ORDER BY at) AS INTEGER) AS n, path, at.t AS ts, at.e AS event_id FROM f
+""")
+def set_list(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("path", F.floor(F.bround("value", 0) / 20).cast("int"))
+    return series.set_list(e, "user_id", ["ts", "event_id"], "path", F.col("event_type") == "signup")
+
+
+@query("""
+WITH h AS (SELECT session_id AS file, lower(deck) AS deck, entry_id AS song, started_at, row_id, epoch_us(received_at) // 3600000000 AS read, session_id % 8 * 3600 AS age FROM history_row WHERE session_id IS NOT NULL AND deck IS NOT NULL AND entry_id IS NOT NULL AND started_at IS NOT NULL AND received_at IS NOT NULL),
+f AS (SELECT file, min(read) AS first_read FROM h GROUP BY 1), s AS (SELECT file, deck, song, started_at, min(read) AS read FROM h GROUP BY ALL)
+SELECT file, read, deck, song, started_at FROM s JOIN f USING (file) WHERE read > first_read
+UNION ALL SELECT file, read, deck, arg_max({'a': song, 'b': started_at}, row_id).a, arg_max({'a': song, 'b': started_at}, row_id).b FROM h JOIN f USING (file) WHERE read = first_read AND age < 14400 GROUP BY file, read, deck
+""")
+def history_tail(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "history_row").where("session_id is not null and deck is not null and entry_id is not null and started_at is not null and received_at is not null")
+    read = F.floor(F.unix_micros(F.col("received_at").cast("timestamp")) / 3_600_000_000).cast("bigint")
+    rows = h.select(F.col("session_id").alias("file"), read.alias("read"), F.lower("deck").alias("deck"), F.col("entry_id").alias("song"), "started_at", "row_id", (F.col("session_id") % 8 * 3600).alias("age"))
+    return series.history_tail(rows, "file", "read", "deck", "song", "started_at", "row_id", "age")

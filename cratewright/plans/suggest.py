@@ -238,9 +238,19 @@ def rescue(tracks: DataFrame, anchors: DataFrame, n: int = 5, least_stars: int =
     return asked.join(top, of).join(tracks.select("pos", "path"), "pos").select(F.col("a_path").alias("anchor"), "place", "path", "score")
 
 
+def fallback(tracks: DataFrame, n: int, least_stars: int, spread: float, seed: int = 0) -> DataFrame:
+    """What a voice command gets: the best rated tracks of any genre and tempo, shuffled a little within a tier: path, score.
+
+    Saving a set asks for three stars, a spread of 0.1 and five tracks;
+    surprising for four stars, 0.25 and twenty.
+    """
+    noise = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed} "), "path")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return tracks.where(F.col("stars") >= least_stars).select("path", F.round(F.col("stars") / 5.0 + noise * spread, 6).alias("score")).orderBy(F.desc("score"), "path").limit(n)
+
+
 def surprise(tracks: DataFrame, played: DataFrame, n: int = 20, least_stars: int = 3, spread: float = 0.15, seed: int = 0) -> DataFrame:
     """Well rated floor tracks not played yet, shuffled a little within a tier: path, score; the same seed draws the same."""
-    noise = F.pmod(F.xxhash64(F.lit(seed), F.col("path")), F.lit(1_000_003)) / 1_000_003.0
+    noise = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed} "), "path")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     good = tracks.where((F.col("stars") >= least_stars) & F.col("genre").isin(*FLOOR_GENRES)).join(played.select("path"), "path", "left_anti")
     return good.select("path", F.round(F.col("stars") / 5.0 + noise * spread, 6).alias("score")).orderBy(F.desc("score"), "path").limit(n)
 

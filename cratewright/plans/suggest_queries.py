@@ -148,7 +148,15 @@ def rescue_topk(spark: SparkSession, d: str) -> DataFrame:
     return suggest.rescue(t, anchors(t))
 
 
-@query()
+_NOISE = "CAST(('0x' || substring(md5('0 ' || path), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"WITH {TRACKS_SQL} SELECT path, round(stars / 5.0::DOUBLE + {_NOISE} * 0.25::DOUBLE, 6) AS score FROM tracks WHERE stars >= 4 ORDER BY score DESC, path LIMIT 20")
+def fallback_topk(spark: SparkSession, d: str) -> DataFrame:
+    return suggest.fallback(part_tracks(spark, d), 20, 4, 0.25)
+
+
+@query(f"WITH {TRACKS_SQL} SELECT path, round(stars / 5.0::DOUBLE + {_NOISE} * 0.15::DOUBLE, 6) AS score FROM tracks WHERE stars >= 3 AND genre IN ({_strings(FLOOR_GENRES)}) AND idx % 20 <> 0 ORDER BY score DESC, path LIMIT 20")
 def surprise_topk(spark: SparkSession, d: str) -> DataFrame:
     t = part_tracks(spark, d)
     return suggest.surprise(t, t.where("idx % 20 = 0"), n=20)

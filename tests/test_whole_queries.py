@@ -16,7 +16,7 @@ def test_sanitize_titles(spark, tmp_path):
         s = re.sub("[ _]{2,}", " ", re.sub(r'[\\/:*?"<>|]', "_", s)).strip(" ._")
         return s[:100] or "Unknown"
 
-    got = {r.entry_id: r.name for r in registry.queries()["sanitize_titles"](spark, str(tmp_path)).collect()}
+    got = {r.entry_id: r.name for r in registry.queries()["sanitize_name"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(titles) if t is not None}
 
 
@@ -29,7 +29,7 @@ def test_html_texts(spark, tmp_path):
         t = re.sub(r"<(script|style)\b.*?</\1>", "", t, flags=re.I | re.S)
         return html.unescape(re.sub(r"<[^>]*>", "", t))
 
-    got = {r.doc_id: r.plain for r in registry.queries()["html_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.plain for r in registry.queries()["html_strip"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
 
 
