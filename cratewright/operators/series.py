@@ -134,3 +134,43 @@ def history_tail(df: DataFrame, file: str, read: str, deck: str, song: str, star
     start = df.join(first, file).where((F.col(read) == F.col("_first")) & (F.col(age_seconds) < fresh))
     latest = start.groupBy(file, read, deck).agg(F.max_by(F.struct(song, started), order).alias("_x")).select(file, read, deck, "_x.*")
     return latest.unionByName(later)
+
+
+def track_cues(tracks: DataFrame, frames: DataFrame, hop: float, least: float = 30.0, drop_from: float = 2.0, drop_to: float = 30.0, sustain_beats: int = 4, quantile: float = 0.75, vocal_from: float = 4.0, sustain_frames: int = 10, outro_beats: int = 16, loop_beats: int = 4) -> DataFrame:
+    """(path, slot, name, type, start_ms, len_ms): the cue points of each track, from what an audio front end measured.
+
+    tracks: (path, anchor_ms, bpm, first_sound_ms), a beat grid and the first
+    onset; frames: (path, i, onset, voice), the onset strength and the level of
+    the voice band every ``hop`` seconds.  Load at the first sound, fade-in at
+    the first beat, vocal where the voice band stays above its threshold, drop
+    where the onsets of some beats on end reach the quantile of all beats, outro
+    some beats before the end.  Tracks shorter than ``least`` seconds have none.
+    """
+    from cratewright.functions import grid
+
+    size = frames.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.median(F.when(F.col("i") < int(5.0 / hop), F.col("voice"))).alias("_base"), F.percentile("voice", F.lit(0.4)).alias("_p40"))
+    t = tracks.join(size, "path").withColumn("_dur", F.col("_n") * hop).where((F.col("_dur") >= least) & (F.col("bpm") > 0))
+    t = t.withColumn("_p", grid.beat_ms(F.col("bpm")) / 1000).withColumn("_a", F.col("anchor_ms") / 1000)
+    cue = lambda slot, name, kind, start, length=F.lit(0.0): F.struct(F.lit(slot).alias("slot"), F.lit(name).alias("name"), F.lit(kind).alias("type"), start.cast("double").alias("start_ms"), length.cast("double").alias("len_ms"))
+    outro = grid.snap((F.col("_dur") - outro_beats * F.col("_p")) * 1000, F.col("anchor_ms"), F.col("_p") * 1000)
+    plain = t.select("path", F.inline(F.array(cue(0, "Load", 3, F.col("first_sound_ms")), cue(1, "Fade In", 1, F.col("anchor_ms")), cue(7, "Outro", 2, F.when(outro > F.col("anchor_ms") + F.col("_p") * 1000, outro)))))
+
+    n_beats = F.greatest(F.ceil((F.col("_dur") - F.col("_a")) / F.col("_p")), F.lit(0)).cast("int")
+    beats = t.withColumn("_nb", n_beats).where("_nb > 0").select("path", "anchor_ms", "_a", "_p", "_n", "_nb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("b"))
+    beats = beats.withColumn("i", F.least(F.ceil((F.col("_a") + F.col("b") * F.col("_p")) / hop), F.col("_n") - 1).cast("int"))
+    heard = beats.join(frames.select("path", F.col("i").cast("int").alias("i"), "onset"), ["path", "i"])
+    level = heard.groupBy("path").agg(F.percentile("onset", F.lit(quantile)).alias("_level"))
+    start = F.floor(F.lit(drop_from) / F.col("_p"))
+    stop = F.greatest(start + 8, F.col("_nb") - F.floor(F.lit(drop_to) / F.col("_p")))
+    w = Window.partitionBy("path").orderBy("b").rowsBetween(0, sustain_beats - 1)
+    windows = heard.where((F.col("b") >= start) & (F.col("b") < stop)).withColumn("_mean", F.avg("onset").over(w)).withColumn("_k", F.count(F.lit(1)).over(w)).where(F.col("_k") == sustain_beats)
+    hit = windows.join(level, "path").where("_mean >= _level").groupBy("path", "anchor_ms", "_a", "_p").agg(F.min("b").alias("b"))
+    at = grid.snap((F.col("_a") + F.col("b") * F.col("_p")) * 1000, F.col("anchor_ms"), F.col("_p") * 1000, 4)
+    drop = hit.select("path", cue(3, "Drop", 5, at, loop_beats * F.col("_p") * 1000).alias("c")).select("path", "c.*")
+
+    sung = frames.where(F.col("i") >= int(vocal_from / hop)).join(t.select("path", "anchor_ms", "_a", "_p", F.greatest(F.coalesce("_base", F.lit(0.0)) * 3, F.col("_p40")).alias("_level")), "path")
+    ahead = Window.partitionBy("path").orderBy("i").rowsBetween(0, sustain_frames - 1)
+    run = sung.withColumn("_all", F.sum((F.col("voice") >= F.col("_level")).cast("int")).over(ahead)).where(F.col("_all") == sustain_frames)
+    first = run.groupBy("path", "anchor_ms", "_a", "_p").agg((F.min("i") * hop).alias("_s")).where("_s > _a + _p")
+    vocal = first.select("path", cue(2, "Vocal", 0, grid.snap(F.col("_s") * 1000, F.col("anchor_ms"), F.col("_p") * 1000)).alias("c")).select("path", "c.*")
+    return plain.where("start_ms is not null").unionByName(drop).unionByName(vocal)

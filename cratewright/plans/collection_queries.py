@@ -54,7 +54,7 @@ WITH t AS (SELECT entry_id, {low_sql("artist")} AS a, coalesce(title, '') AS tit
 SELECT entry_id, a || chr(9) || {low_sql("title")} AS song, a || chr(9) || {low_sql("regexp_replace(title, '\\s*[\\(\\[][^)\\]]*[\\)\\]]', '', 'g')")} AS bare,
   a || chr(9) || {low_sql("regexp_replace(title, '(?s)\\s*[\\(\\[].*', '')")} AS cut, regexp_replace(a, '^(the|a|an) ', '') AS artist_bare,
   a || chr(9) || {low_sql("regexp_replace(title, '\\s*[\\(\\[][^\\n\\r]{0,40}[\\)\\]]\\s*$', '')")} AS version, a || chr(9) || {low_sql("regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', '')")} AS base,
-  trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '^(the|a|an)\\s+', ''), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s\\p{{Z}}]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ') AS loose FROM t
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '^(the|a|an)\\s+', ''), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}\\s\\p{{Z}}]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ') AS loose FROM t
 """)
 def song_keys(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry")
@@ -152,6 +152,11 @@ def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.fuzzy_pairs(n, "x", "n", 2)
 
 
+_LOOSE = "t0"
+for _p, _by in (("^\\d{1,3}\\s*[-.]?\\s*", ""), ("[\\s\\p{Z}]+-[\\s\\p{Z}]+[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}][\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\p{Z}]*$", ""), ("\\s+\\d+$", ""), ("[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\p{Z}]", " "), ("[\\s\\p{Z}]+", " ")):
+    _LOOSE = f"trim(regexp_replace({_LOOSE}, '{_p}', '{_by}', 'g'), ' ')"
+
+
 @query("""
 WITH b AS (SELECT *, round_even(l_quantity / 5, 0) * 5 AS bucket FROM lineitem)
 SELECT l_partkey, bucket, l_orderkey, l_linenumber FROM b QUALIFY row_number() OVER (PARTITION BY l_partkey, bucket ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_shipdate) = 1
@@ -161,7 +166,15 @@ def bucket_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.bucket_dedup(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity", 5.0, order).select("l_partkey", "bucket", "l_orderkey", "l_linenumber")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE r AS (SELECT entry_id AS id, lower(regexp_replace(coalesce(title, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS t0, lower(trim(coalesce(artist, ''))) AS a, CASE WHEN regexp_full_match(trim(filesize), '[+-]?[0-9]+(\\.[0-9]*)?([eE][+-]?[0-9]+)?') THEN try_cast(trim(filesize) AS DOUBLE) END AS size, try_cast(trim(playtime_float) AS DOUBLE) AS sec FROM nml_entry),
+k AS (SELECT * EXCLUDE (t0), {_LOOSE} AS t FROM r),
+e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.t = y.t AND x.id < y.id AND x.t <> '' AND x.size > 0 AND y.size > 0 AND x.sec > 0 AND y.sec > 0 AND abs(x.size - y.size) < 0.01 * greatest(x.size, y.size) AND abs(x.sec - y.sec) <= 2 AND (x.a = y.a OR x.a = '' OR y.a = '')),
+n AS (SELECT row_number() OVER (ORDER BY v) AS i, v, earlier FROM (SELECT v, list(u) FILTER (WHERE u IS NOT NULL) AS earlier FROM (SELECT b AS v, a AS u FROM e UNION ALL SELECT a, NULL FROM e) GROUP BY v)),
+s(i, stars) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT n.i, CASE WHEN coalesce(list_has_any(s.stars, n.earlier), false) THEN s.stars ELSE list_append(s.stars, n.v) END FROM s JOIN n ON n.i = s.i + 1),
+f AS (SELECT unnest(stars) AS star FROM s QUALIFY row_number() OVER (ORDER BY i DESC) = 1)
+SELECT min(e.a) AS star, e.b AS member FROM e JOIN f ON f.star = e.a WHERE e.b NOT IN (SELECT star FROM f) GROUP BY e.b
+""")
 def greedy_stars(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry").select("entry_id", keys.loose_title(c("title")).alias("t"), F.lower(F.trim(F.coalesce("artist", F.lit("")))).alias("a"), c("filesize").try_cast("double").alias("size"), c("playtime_float").try_cast("double").alias("sec"))
     return dedup.greedy_stars(e.where("t <> '' and size > 0 and sec > 0"), ["t"], "entry_id", "size", "sec", "a")

@@ -192,8 +192,8 @@ def first_frame_above(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH n AS (SELECT user_id, ts, event_id, event_type, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS night, CAST(value AS INTEGER) // 20 AS path FROM events),
-f AS (SELECT user_id, night, path, min({{'t': ts, 'e': event_id}}) AS at FROM n WHERE event_type <> 'signup' AND path IS NOT NULL GROUP BY ALL)
-SELECT user_id, night, CAST(row_number() OVER (PARTITION BY user_id, night ORDER BY at) AS INTEGER) AS n, path, at.t AS ts, at.e AS event_id FROM f
+f AS (SELECT user_id, night, path, min({{'t': ts, 'e': event_id}}) AS first_at FROM n WHERE event_type <> 'signup' AND path IS NOT NULL GROUP BY ALL)
+SELECT user_id, night, CAST(row_number() OVER (PARTITION BY user_id, night ORDER BY first_at) AS INTEGER) AS n, path, first_at.t AS ts, first_at.e AS event_id FROM f
 """)
 def set_list(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("path", F.floor(F.bround("value", 0) / 20).cast("int"))
@@ -211,3 +211,22 @@ def history_tail(spark: SparkSession, d: str) -> DataFrame:
     read = F.floor(F.unix_micros(F.col("received_at").cast("timestamp")) / 3_600_000_000).cast("bigint")
     rows = h.select(F.col("session_id").alias("file"), read.alias("read"), F.lower("deck").alias("deck"), F.col("entry_id").alias("song"), "started_at", "row_id", (F.col("session_id") % 8 * 3600).alias("age"))
     return series.history_tail(rows, "file", "read", "deck", "song", "started_at", "row_id", "age")
+
+
+@query("""
+WITH f AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+z AS (SELECT vec_id, count(*) AS n, median(abs(v)) FILTER (WHERE i < 6) AS base, quantile_cont(abs(v), 0.4) AS p40 FROM f GROUP BY 1),
+b AS (SELECT z.vec_id, t.b, least(CAST(ceil((0.25 + t.b * 0.5) / 0.75) AS BIGINT), z.n - 1) AS i FROM z, (SELECT unnest(range(96)) AS b) t),
+h AS (SELECT b.vec_id, b.b, f.v FROM b JOIN f ON f.vec_id = b.vec_id AND f.i = b.i), l AS (SELECT vec_id, quantile_cont(v, 0.75) AS level FROM h GROUP BY 1),
+w AS (SELECT vec_id, b, avg(v) OVER x AS mean, count(*) OVER x AS k FROM h WHERE b >= 4 AND b < 36 WINDOW x AS (PARTITION BY vec_id ORDER BY b ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+d AS (SELECT vec_id, min(b) AS b FROM w JOIN l USING (vec_id) WHERE k = 4 AND mean >= level GROUP BY 1),
+s AS (SELECT f.vec_id, i, sum(CASE WHEN abs(v) >= greatest(base * 3, p40) THEN 1 ELSE 0 END) OVER (PARTITION BY f.vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS a FROM f JOIN z USING (vec_id) WHERE i >= 5),
+u AS (SELECT vec_id, min(i) * 0.75 AS s FROM s WHERE a = 10 GROUP BY 1)
+SELECT vec_id AS path, 0 AS slot, 'Load' AS name, 3 AS type, 100.0::DOUBLE AS start_ms, 0.0::DOUBLE AS len_ms FROM z UNION ALL SELECT vec_id, 1, 'Fade In', 1, 250, 0 FROM z UNION ALL SELECT vec_id, 7, 'Outro', 2, 250 + round_even((40000 - 250) / 500.0, 0) * 500, 0 FROM z
+UNION ALL SELECT vec_id, 3, 'Drop', 5, 250 + round_even(b * 500 / 2000.0, 0) * 2000, 2000 FROM d UNION ALL SELECT vec_id, 2, 'Vocal', 0, 250 + round_even((s * 1000 - 250) / 500.0, 0) * 500, 0 FROM u WHERE s > 0.75
+""")
+def track_cues(spark: SparkSession, d: str) -> DataFrame:
+    # Vectors stand for the frames of an audio front end.
+    f = table(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.posexplode("embedding").alias("i", "v")).select("path", "i", F.col("v").cast("double").alias("onset"), F.abs("v").cast("double").alias("voice"))
+    t = f.select("path").distinct().select("path", F.lit(250.0).alias("anchor_ms"), F.lit(120.0).alias("bpm"), F.lit(100.0).alias("first_sound_ms"))
+    return series.track_cues(t, f, 0.75)
