@@ -39,6 +39,7 @@ BITS = 6
 SIZE = 1 << 3 * BITS
 MOST = (1 << 32 - 3 * BITS) - 1  # counts above it rank alike
 PROFILE, DOC_PROFILE = 2000, 400  # n-grams kept of a language and of a stanza
+CALIBRATION, SURE_BINS, PER_BIN = 4_000, 128, 6  # labelled texts the confidence is fitted on, about; its steps and their width
 
 _OTHER = len(ALPHABET) + 1
 _FOLD = np.arange(_OTHER + 1, dtype=np.int32)
@@ -157,20 +158,24 @@ def label_code(label: Column) -> Column:
 RESULT = "lang string, confidence double, parts array<struct<stanza_no:int,lang:string,confidence:double>>"
 
 
-def _best(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest language and how much nearer than the second it is, from 0 to 1."""
+def _best(distance: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest language, and the step of how much nearer than the second it is, weighed by the n-grams compared."""
     order = np.sort(distance, axis=1)
-    return distance.argmin(axis=1), (order[:, 1] - order[:, 0]) / np.maximum(order[:, 1], 1e-9)
+    margin = (order[:, 1] - order[:, 0]) / np.maximum(order[:, 1], 1e-9)
+    return distance.argmin(axis=1), np.minimum(margin * np.sqrt(known) * PER_BIN, SURE_BINS - 1).astype(np.int64)
 
 
-def tag(texts: list[str | None], ranks: np.ndarray) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
+UNFITTED = (np.arange(SURE_BINS) + 1) / SURE_BINS  # confidence by steps where none was fitted
+
+
+def tag(texts: list[str | None], ranks: np.ndarray, sure: np.ndarray = UNFITTED) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
     """Language and confidence of each text and of its stanzas; no language for a text without letters."""
     blocks = [stanzas(t) if t else [] for t in texts]
     flat = [s for b in blocks for s in b]
     if not flat:
         return [(None, 0.0, []) for _ in texts]
     distance, known = out_of_place(flat, ranks)
-    choice, sure = _best(distance)
+    choice, step = _best(distance, known)
     out, at = [], 0
     for b in blocks:
         mine = slice(at, at + len(b))
@@ -180,34 +185,77 @@ def tag(texts: list[str | None], ranks: np.ndarray) -> list[tuple[str | None, fl
             out.append((None, 0.0, []))
             continue
         whole = (distance[mine] * weight[:, None]).sum(axis=0, keepdims=True) / weight.sum()
-        (k,), (c,) = _best(whole)
-        parts = [(i + 1, LANGS[choice[at - len(b) + i]], float(sure[at - len(b) + i])) if weight[i] else (i + 1, LANGS[k], 0.0) for i in range(len(b))]
-        out.append((LANGS[k], float(c), parts))
+        (k,), (c,) = _best(whole, weight.sum(keepdims=True))
+        parts = [(i + 1, LANGS[choice[at - len(b) + i]], float(sure[step[at - len(b) + i]])) if weight[i] else (i + 1, LANGS[k], 0.0) for i in range(len(b))]
+        out.append((LANGS[k], float(sure[c]), parts))
     return out
 
 
-def add_language(rows: DataFrame, text: str, ranks: np.ndarray) -> DataFrame:
+def rising(right: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The share that is right at each step, smoothed and never falling (pooled where it would)."""
+    groups: list[list[float]] = []
+    for r, m in zip(right + 1.0 / len(LANGS), n + 1.0):
+        groups.append([r, m, 1])
+        while len(groups) > 1 and groups[-2][0] / groups[-2][1] >= groups[-1][0] / groups[-1][1]:
+            r2, m2, k2 = groups.pop()
+            groups[-1] = [groups[-1][0] + r2, groups[-1][1] + m2, groups[-1][2] + k2]
+    return np.concatenate([np.full(k, r / m) for r, m, k in groups])
+
+
+def fit_confidence(labelled: DataFrame, ranks: np.ndarray, text: str = "text", lang: str = "lang", sample: int = CALIBRATION) -> np.ndarray:
+    """How often a stanza's language is right, by steps of the margin, from about ``sample`` labelled texts drawn by a hash of the text, whole."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isin(*LANGS))
+    every = max(1, rows.count() // sample)
+    drawn = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
+    shared = labelled.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, n = np.zeros(SURE_BINS, np.int64), np.zeros(SURE_BINS, np.int64)
+        for b in batches:
+            texts, langs, at = b.column("text").to_pylist(), b.column("lang").to_pylist(), 0
+            for part in by_size(texts):
+                blocks = [stanzas(t) for t in part]
+                of = [LANGS.index(langs[at + i]) for i, x in enumerate(blocks) for _ in x]
+                at += len(part)
+                if of:
+                    choice, step = _best(*out_of_place([s for x in blocks for s in x], shared.value))
+                    n += np.bincount(step, minlength=SURE_BINS)
+                    right += np.bincount(step, weights=choice == np.array(of), minlength=SURE_BINS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SURE_BINS, dtype=np.int32)), pa.array(right), pa.array(n)], names=["step", "r", "n"])
+
+    right, n = np.zeros(SURE_BINS), np.zeros(SURE_BINS)
+    for r in drawn.mapInArrow(run, "step int, r bigint, n bigint").groupBy("step").agg(F.sum("r").alias("r"), F.sum("n").alias("n")).collect():  # SURE_BINS rows
+        right[r.step], n[r.step] = r.r, r.n
+    return rising(right, n)
+
+
+def add_language(rows: DataFrame, text: str, ranks: np.ndarray, sure: np.ndarray = UNFITTED) -> DataFrame:
     """Add a struct column ``tagged`` (lang, confidence, parts: one per stanza) to all rows.
 
     Null, empty and blank texts, and texts without a letter, get a null language
     and no parts.  A stanza without letters takes the language of its text with
     confidence 0.  All other columns are kept as they are.
     """
+    shared = rows.sparkSession.sparkContext.broadcast((ranks, sure))  # of fixed size, whatever the corpus
 
     def run(values: pd.Series) -> pd.DataFrame:
         out = []
         for part in by_size(values.tolist()):
-            out += tag(part, ranks)
+            out += tag(part, *shared.value)
         return pd.DataFrame(out, columns=["lang", "confidence", "parts"])
 
     # Not to be repeated where a filter on the result is pushed below it.
     return rows.withColumn("tagged", F.pandas_udf(run, RESULT).asNondeterministic()(F.col(text)))
 
 
-def language_cases(lyrics: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(lyrics_id, stanza_no, lang, confidence) of each stanza of a text whose label is missing, names no or another language, or whose stanzas differ."""
+def language_cases(lyrics: DataFrame, labelled: DataFrame, fitted: bool = True) -> DataFrame:
+    """(lyrics_id, stanza_no, lang, confidence) of each stanza of a text whose label is missing, names no or another language, or whose stanzas differ.
+
+    ``fitted``: confidence is the share of right stanzas among labelled ones with
+    such a margin; else the margin itself, for callers who do not ask for it.
+    """
     ranks = train_profiles(labelled)
-    tagged = add_language(lyrics.select("lyrics_id", "lyrics_text", label_code(F.col("lang_label")).alias("label")), "lyrics_text", ranks)
+    tagged = add_language(lyrics.select("lyrics_id", "lyrics_text", label_code(F.col("lang_label")).alias("label")), "lyrics_text", ranks, fit_confidence(labelled, ranks) if fitted else UNFITTED)
     parts = tagged.select("lyrics_id", "label", F.col("tagged.lang").alias("own"), F.col("tagged.parts").alias("parts"))
     langs = F.array_distinct(F.transform("parts", lambda p: p["lang"]))
     # With one language in all stanzas, that is the text's.

@@ -20,12 +20,13 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.language_cases(table(spark, d, "lyrics_raw"), table(spark, d, "documents")).select("lyrics_id", "stanza_no", "lang")
+    return language.language_cases(table(spark, d, "lyrics_raw"), table(spark, d, "documents"), fitted=False).select("lyrics_id", "stanza_no", "lang")
 
 
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
-    ranks = language.train_profiles(table(spark, d, "documents"))
-    tagged = language.add_language(table(spark, d, "lyrics_raw").select("lyrics_id", "lyrics_text"), "lyrics_text", ranks)
+    labelled = table(spark, d, "documents")
+    ranks = language.train_profiles(labelled)
+    tagged = language.add_language(table(spark, d, "lyrics_raw").select("lyrics_id", "lyrics_text"), "lyrics_text", ranks, language.fit_confidence(labelled, ranks))
     return tagged.select("lyrics_id", F.col("tagged.lang").alias("lang"), F.round("tagged.confidence", 4).alias("confidence"), F.size("tagged.parts").alias("n_stanzas"))
 
 

@@ -45,6 +45,17 @@ def test_language(spark):
     assert language.language_cases(lyrics.limit(0), labelled).count() == 0
 
 
+def test_confidence_never_falls(spark):
+    right, n = np.array([1.0, 0, 8, 5, 10]), np.array([4.0, 0, 10, 10, 10])
+    fitted = language.rising(right, n)
+    assert len(fitted) == 5 and (np.diff(fitted) >= 0).all() and 0 < fitted[0] < fitted[-1] < 1
+    labelled = spark.createDataFrame([(t, k) for k, t in SAMPLES.items()] + [(None, "en"), ("", "de")], "text string, lang string")
+    ranks = language.train_profiles(labelled)
+    sure = language.fit_confidence(labelled, ranks)
+    assert len(sure) == language.SURE_BINS and (np.diff(sure) >= 0).all()
+    assert len(language.fit_confidence(labelled.limit(0), ranks)) == language.SURE_BINS
+
+
 def test_stanzas():
     assert language.stanzas("\n\na\r\nb\r\n \r\n\t\nc\n\n\n") == ["\na\nb", "c\n"] or len(language.stanzas("\n\na\r\nb\r\n \r\n\t\nc\n\n\n")) == 2
     assert language.stanzas(" \n ") == []
