@@ -134,15 +134,18 @@ def out_of_place(texts: list[str], ranks: np.ndarray) -> tuple[np.ndarray, np.nd
     # Sorted by text, falling count and n-gram, as one number each.
     packed = np.sort(doc << 32 | (MOST - np.minimum(n, MOST)) << 3 * BITS | gram)
     doc, gram = packed >> 32, packed & (SIZE - 1)
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    counts = np.bincount(doc, minlength=len(texts))
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     top = rank < DOC_PROFILE
     doc, gram, rank = doc[top], gram[top], rank[top]
-    # A stanza's ranks are spread over the length of a profile, as its list is shorter.
     known = np.bincount(doc, minlength=len(texts))
-    place = ranks[gram].astype(np.float64)
-    far = np.abs(place - rank[:, None])
-    far[place >= PROFILE] = PROFILE
-    total = np.stack([np.bincount(doc, weights=far[:, k], minlength=len(texts)) for k in range(len(LANGS))], axis=1)
+    # An n-gram the profile lacks is farther than any other.
+    place = np.where(ranks >= PROFILE, 3 * PROFILE, ranks).astype(np.int16)[gram]
+    far = np.minimum(np.abs(place - rank.astype(np.int16)[:, None]), PROFILE)
+    total = np.zeros((len(texts), len(LANGS)))
+    some = np.flatnonzero(known)
+    if len(some):
+        total[some] = np.add.reduceat(far, np.searchsorted(doc, some), axis=0, dtype=np.int64)
     return total / np.maximum(known, 1)[:, None] / PROFILE, known
 
 
@@ -176,18 +179,23 @@ def tag(texts: list[str | None], ranks: np.ndarray, sure: np.ndarray = UNFITTED)
         return [(None, 0.0, []) for _ in texts]
     distance, known = out_of_place(flat, ranks)
     choice, step = _best(distance, known)
+    sizes = np.array([len(b) for b in blocks])
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    weight = np.zeros(len(texts), np.int64)
+    weight[some] = np.add.reduceat(known, starts)
+    whole = np.zeros((len(texts), len(LANGS)))
+    whole[some] = np.add.reduceat(distance * known[:, None], starts, axis=0) / np.maximum(weight[some], 1)[:, None]
+    own, own_step = _best(whole, weight)
+    langs, confidence = [LANGS[k] for k in choice], np.where(known > 0, sure[step], 0.0).tolist()
     out, at = [], 0
-    for b in blocks:
-        mine = slice(at, at + len(b))
-        at += len(b)
-        weight = known[mine]
-        if not weight.sum():
+    for i, n in enumerate(sizes.tolist()):
+        if not weight[i]:
             out.append((None, 0.0, []))
-            continue
-        whole = (distance[mine] * weight[:, None]).sum(axis=0, keepdims=True) / weight.sum()
-        (k,), (c,) = _best(whole, weight.sum(keepdims=True))
-        parts = [(i + 1, LANGS[choice[at - len(b) + i]], float(sure[step[at - len(b) + i]])) if weight[i] else (i + 1, LANGS[k], 0.0) for i in range(len(b))]
-        out.append((LANGS[k], float(sure[c]), parts))
+        else:
+            lang = LANGS[own[i]]
+            out.append((lang, float(sure[own_step[i]]), [(j + 1, langs[at + j] if known[at + j] else lang, confidence[at + j]) for j in range(n)]))
+        at += n
     return out
 
 
