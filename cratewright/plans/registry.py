@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cratewright.plans import collection_queries, library_queries, series_queries, suggest_queries, text_queries  # noqa: F401
+    from cratewright.plans import collection_queries, library_queries, output_queries, series_queries, suggest_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
