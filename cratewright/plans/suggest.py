@@ -12,7 +12,7 @@ one long, so each step is a hash aggregate on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cratewright.functions import harmonic, keys
@@ -61,6 +61,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _row(names: tuple[str, ...], pairs: list[tuple[str, str, float]], other: float, value: Column) -> Column:
     """The scores of a value with all names, as an array; null for a value that is no name."""
     known = {(a, b): w for a, b, w in pairs}
@@ -97,6 +101,8 @@ def _best(rows: DataFrame, by: list[str], n: int) -> DataFrame:
 def _by_tempo(tracks: DataFrame, tempos: DataFrame, weight: float, stars: float, n: int) -> DataFrame:
     """(a_bpm, group, who, packed): for each tempo asked for, the best tracks of each group by tempo and stars."""
     own = _best(tracks.withColumn("packed", _pack(stars * F.coalesce("stars", F.lit(0)) / 5.0)), ["bpm", *GROUP], n)
+    # At most n rows per tempo and group are left; the steps below all find them where they are, and on all cores.
+    own = own.repartition(_parts(own.sparkSession), *GROUP)
     near = own.join(_small(tempos)).withColumn("packed", F.col("packed") + _millionths(weight * harmonic.bpm_compat(F.col("a_bpm"), F.col("bpm"))))
     # What the later steps look up by genre and theme, once per group.
     return _best(near, ["a_bpm", *GROUP], n).withColumn("gid", _number(F.col("genre"), GENRES)).withColumn("tid", _number(F.col("theme"), THEMES)).withColumn("core", F.when(F.col("genre").isin(*CORE_GENRES), 1.0).otherwise(0.4))
