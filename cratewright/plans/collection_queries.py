@@ -515,3 +515,14 @@ def rebuild_kept(spark: SparkSession, d: str) -> DataFrame:
 @query(_REBUILT + ", moved AS (SELECT path, min(target) AS target FROM z GROUP BY 1) SELECT CAST(h.session_id AS VARCHAR) AS playlist, h.row_id AS pos, m.target AS path FROM history_row h JOIN p ON p.entry_id = h.entry_id JOIN moved m ON m.path = p.path")
 def rebuild_refs(spark: SparkSession, d: str) -> DataFrame:
     return _rebuilt(spark, d)[1]
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS target FROM orders)
+SELECT l.l_orderkey, l.l_linenumber, coalesce(o.target, l.l_orderkey) AS target FROM lineitem l LEFT JOIN o ON o.o_orderkey = l.l_orderkey
+""")
+def redirect_lines(spark: SparkSession, d: str) -> DataFrame:
+    # Keep-best, remap and redirect, end to end: orders alike in customer, priority and status become the dearest one, and lines follow.
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.concat_ws("|", "o_custkey", "o_orderpriority", "o_orderstatus").alias("k"))
+    moved = dedup.winners_of_losers(o, ["k"], [F.desc("o_totalprice"), c("o_orderkey")], "o_orderkey").select(c("loser").alias("old"), c("winner").alias("new"))
+    return joins.redirect(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", moved).select("l_orderkey", "l_linenumber", "target")
