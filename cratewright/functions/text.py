@@ -73,7 +73,7 @@ def clean_stem(stem: Column) -> Column:
 def _named(s: Column) -> Column:
     spaced = F.regexp_replace(F.regexp_replace(s, r"\s*-\s+", " - "), r"\s+-\s*", " - ")
     turned = s.rlike(r"^(.+\S)-\s+([A-Za-z].*)$")
-    return let(F.struct(spaced.alias("t"), turned.alias("turned"), F.transform(F.split(spaced, " - "), F.trim).alias("parts")), _split_name)
+    return let(F.struct(spaced.alias("t"), turned.alias("turned"), F.transform(F.split(spaced, " - "), lambda p: F.trim(p)).alias("parts")), _split_name)
 
 
 def _split_name(x: Column) -> Column:
@@ -81,7 +81,7 @@ def _split_name(x: Column) -> Column:
     noise_at = F.array_position(F.transform(x["parts"], lambda p: p.rlike(NOISE_PART)), True)
     kept = F.when(noise_at > 0, F.slice(x["parts"], F.lit(1), F.greatest(noise_at.cast("int") - 1, F.lit(0)))).otherwise(x["parts"])
     whole = F.split(x["t"], " - ", 2)
-    sides = let(kept, lambda k: F.when(F.size(k) >= 2, F.array(F.element_at(k, 1), F.array_join(F.slice(k, F.lit(2), F.size(k)), " - "))).otherwise(F.transform(whole, F.trim)))
+    sides = let(kept, lambda k: F.when(F.size(k) >= 2, F.array(F.element_at(k, 1), F.array_join(F.slice(k, F.lit(2), F.size(k)), " - "))).otherwise(F.transform(whole, lambda p: F.trim(p))))
     tight = r"^(.+?)-([A-Z][A-Za-z\s]+)$"
     fields = F.struct(
         x["t"].alias("t"),

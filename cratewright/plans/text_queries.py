@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewright.functions import keys, text
-from cratewright.functions.lookups import SMALL_WORDS
+from cratewright.functions.lookups import GENRE_WORDS, SMALL_WORDS, TITLE_GENRES
 from cratewright.operators import normalize, series
 from cratewright.plans.registry import query
 from cratewright.session import table
@@ -85,13 +85,41 @@ def sanitize_name(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_id", text.safe_name(c("title")).alias("name"))
 
 
-@query()
+def _replaced(x: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        x = f"trim(regexp_replace({x}, {_sql_text(pattern)}, {_sql_text(by)}, 'g'), ' ')"
+    return x
+
+
+@query(f"""
+WITH a AS (SELECT entry_id, {_replaced("trim(regexp_replace(loc_file, '(.)[.][^.]*$', '" + chr(92) + "1'), ' ')", (text.DOWNLOADER, ""), (text.VIDEO_ID, ""), (text.OFFICIAL, ""), (text.QUALITY, ""), ("[.]{2,}", "."), (text.TRACK_NUMBER, ""))} AS s FROM nml_entry WHERE loc_file IS NOT NULL),
+b AS (SELECT entry_id, CASE WHEN length(s) - length(replace(s, '_', '')) >= 2 THEN replace(s, '_', ' ') ELSE s END AS x FROM a),
+c AS (SELECT entry_id, regexp_replace(regexp_replace(x, '\\s*-\\s+', ' - ', 'g'), '\\s+-\\s*', ' - ', 'g') AS t, regexp_matches(x, '^(.+\\S)-\\s+([A-Za-z].*)$') AS turned FROM b),
+d AS (SELECT *, list_transform(string_split(t, ' - '), lambda y: trim(y, ' ')) AS parts, contains(t, ' - ') AS dashed, trim(regexp_extract(t, '^(.+?)-([A-Z][A-Za-z\\s]+)$', 1), ' ') AS tt, CASE WHEN NOT starts_with(t, '-') THEN trim(regexp_extract(t, '^(.+?)-([A-Z][A-Za-z\\s]+)$', 2), ' ') END AS ta FROM c),
+e AS (SELECT *, coalesce(list_position(list_transform(parts, lambda y: regexp_matches(y, {_sql_text(text.NOISE_PART)})), true), 0) AS noise FROM d),
+f AS (SELECT *, CASE WHEN noise > 0 THEN parts[1:noise - 1] ELSE parts END AS kept FROM e),
+g AS (SELECT *, CASE WHEN len(kept) >= 2 THEN kept[1] ELSE parts[1] END AS l, CASE WHEN len(kept) >= 2 THEN array_to_string(kept[2:], ' - ') WHEN dashed THEN trim(substring(t, instr(t, ' - ') + 3), ' ') END AS r FROM f),
+h AS (SELECT entry_id, CASE WHEN dashed THEN CASE WHEN lower(l) IN ({", ".join(map(_sql_text, GENRE_WORDS))}) THEN NULL WHEN turned THEN r ELSE l END WHEN coalesce(ta, '') <> '' AND len(regexp_split_to_array(ta, '\\s+')) <= 4 THEN ta END AS artist,
+  CASE WHEN dashed THEN CASE WHEN lower(l) IN ({", ".join(map(_sql_text, GENRE_WORDS))}) THEN r WHEN turned THEN l ELSE r END WHEN coalesce(ta, '') <> '' AND len(regexp_split_to_array(ta, '\\s+')) <= 4 THEN tt ELSE t END AS title FROM g),
+i AS (SELECT entry_id, trim(artist, ' -_.,') AS artist, trim(title, ' -_.,') AS title FROM h)
+SELECT entry_id, CASE WHEN NOT coalesce(regexp_matches(title, {_sql_text(text.PLACEHOLDER_TITLE)}), false) AND NOT regexp_matches(artist, {_sql_text(text.PLACEHOLDER_ARTIST)}) THEN nullif(artist, '') END AS artist, CASE WHEN NOT coalesce(regexp_matches(title, {_sql_text(text.PLACEHOLDER_TITLE)}), false) THEN nullif(title, '') END AS title FROM i
+""")
 def clean_stem(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry").where("loc_file is not null").withColumn("x", text.clean_stem(F.regexp_replace("loc_file", r"(?<=.)\.[^.]*$", "")))
     return e.select("entry_id", "x.artist", "x.title")
 
 
-@query()
+_GENRE_FIRST = f"(?i)^({'|'.join(TITLE_GENRES)})\\s*[-_]\\s*(.+?)\\s*[-_]\\s*(.+)$"
+
+
+@query(f"""
+WITH x AS (SELECT entry_id, title, coalesce(artist, '') AS a, CASE WHEN regexp_matches(title, {_sql_text(text.AUDIO_END)}) THEN trim(regexp_replace(title, {_sql_text(text.AUDIO_END)}, ''), ' ') ELSE title END AS t1 FROM nml_entry),
+y AS (SELECT *, trim(regexp_replace(t1, {_sql_text(text.ARTIFACTS)}, '', 'g'), ' ') AS t2 FROM x),
+z AS (SELECT *, CASE WHEN a <> '' AND lower(trim(regexp_extract(t2, {_sql_text(_GENRE_FIRST)}, 2), ' ')) = lower(a) THEN trim(regexp_extract(t2, {_sql_text(_GENRE_FIRST)}, 3), ' ') ELSE t2 END AS t3 FROM y),
+w AS (SELECT *, substring(t3, length(a) + 1) AS rest, length(a) > 2 AND lower(substring(t3, 1, length(a))) = lower(a) AS st FROM z),
+v AS (SELECT *, CASE WHEN st AND regexp_matches(rest, '^\\s*[-–]\\s*') THEN trim(regexp_replace(rest, '^\\s*[-–]\\s*', ''), ' ') WHEN st AND regexp_matches(rest, '^[-_]') THEN trim(substring(rest, 2), ' ') ELSE t3 END AS t4 FROM w)
+SELECT entry_id, trim(t4, ' -–_') AS new_title FROM v WHERE t4 <> title AND trim(t4, ' -–_') <> ''
+""")
 def clean_title(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "nml_entry")
     return e.select("entry_id", text.clean_title(c("title"), c("artist")).alias("new_title")).where("new_title is not null")

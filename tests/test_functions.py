@@ -134,3 +134,9 @@ def test_table_functions(spark):
     assert sorted(tuple(r) for r in spark.sql("select i, l.* from timed, lateral lrc_lines(t) l").collect()) == [(1, 1500.0, "a"), (1, 60000.0, "c")]
     assert [tuple(r) for r in spark.sql("select * from estimated_lines('a\n\nb', double(10)) order by ms").collect()] == [(0.0, "a"), (5.0, "b")]
     assert sorted(tuple(r) for r in spark.sql("select * from name_candidates('Foo - Bar')").collect()) == [("Bar", "Foo"), ("Foo", "Bar")]
+
+
+def test_parts_of_a_name_keep_their_digits(spark):
+    rows = [("A - City - 24",), ("10 Years - 1 Day",), (" B  -  02 ",)]
+    got = [tuple(r.x) for r in spark.createDataFrame(rows, "s string").select(text.clean_stem(F.col("s")).alias("x")).collect()]
+    assert got == [("A", "City - 24"), ("Years", "1 Day"), ("B", "02")]
