@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewright.functions import keys, text
 from cratewright.functions.lookups import LOWERCASE_NAMES
+from cratewright.llm.batches import by_size
+from cratewright.operators.substrings import filters, passing, passing_whole
+from cratewright.session import cut, ship
 
 
 def named(tracks: DataFrame) -> DataFrame:
@@ -132,19 +139,49 @@ def find_files(wanted: DataFrame, files: DataFrame, artist_signs: int = 15, titl
 
     First a file somewhere below a folder whose name begins with the artist, then
     one in a folder whose name holds the artist's first signs; the first path of
-    each kind.  Files are joined on the three-sign pieces that name and title
-    share, so no title is compared with every file.
+    each kind.  A file is read once: the parts of its name and folders that may be
+    titles and artists are found by filters of all that are wanted, and joined with
+    these by equality, however many titles or names begin alike.
     """
-    w = wanted.where((F.coalesce("artist", F.lit("")) != "") & (F.length("title") > 0)).select("key", F.col("artist").alias("_a"), F.substring("artist", 1, artist_signs).alias("_short"), F.substring("title", 1, title_signs).alias("_t"))
-    f = files.select("path", F.element_at(F.split("path", "/"), -1).alias("_name"), F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))).alias("_dirs"))
-    piece = lambda x: F.when(F.length(x) >= 3, F.array(F.substring(x, 1, 3))).otherwise(F.array(F.substring(x, 1, 1)))
-    n = F.length("_name")
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(F.substr(F.col("_name"), i, F.lit(3)), F.substr(F.col("_name"), i, F.lit(1))))))
-    pairs = w.withColumn("_g", F.explode(piece(F.col("_t")))).join(f.withColumn("_g", F.explode(pieces)), "_g").where(F.contains("_name", F.col("_t")))
-    above = F.exists("_dirs", lambda d: F.startswith(d, F.col("_a")))
-    beside = F.contains(F.element_at("_dirs", -1), F.col("_short"))
-    graded = pairs.withColumn("_r", F.when(above, 0).when(beside, 1)).where("_r is not null")
-    return graded.groupBy("key").agg(F.min_by("path", F.struct("_r", "path")).alias("path"))
+    spark = wanted.sparkSession
+    ship(spark)
+    w = cut(wanted.where((F.coalesce("artist", F.lit("")) != "") & (F.length("title") > 0)).select("key", F.col("artist").alias("_a"), F.substring("artist", 1, artist_signs).alias("_short"), F.substring("title", 1, title_signs).alias("_t")))
+    # How well a folder fits, for which artist or first signs of one, and the title.
+    asked = lambda r, who: F.struct(F.lit(r).alias("_r"), F.col(who).alias("_who"), F.col("_t"))
+    whole = lambda r, who: F.concat(F.lit(f"{r}"), who, F.lit("/"), "_t")
+    kinds = ((0, "_t"), (1, "_a"), (2, "_short"), (3, whole(0, "_a")), (4, whole(1, "_short")))
+    patterns = w.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), (F.col(x) if isinstance(x, str) else x).alias("pattern")) for k, x in kinds))))
+    filled, bits = filters(patterns, len(kinds), w.count())
+    sent = spark.sparkContext.broadcast(filled)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(texts: set[str], kind: int, most: int | None, first_only: bool) -> dict[str, list[str]]:
+            some, out = sorted(texts), {}
+            for k, p in passing(some, sent.value[kind], bits, most, first_only):
+                out.setdefault(some[k], []).append(p)
+            return out
+
+        for batch in batches:
+            for paths in by_size(batch.column(0).to_pylist()):
+                split = [p.split("/") for p in paths]
+                titles = parts({s[-1] for s in split}, 0, title_signs, False)
+                above = parts({d for s in split for d in s[:-1]}, 1, None, True)
+                beside = parts({s[-2] for s in split if len(s) > 1}, 2, artist_signs, False)
+                rows: list[tuple[int, str, str, str]] = []
+                for path, s in zip(paths, split):
+                    if len(s) < 2 or s[-1] not in titles:
+                        continue
+                    who = {(0, a) for d in s[:-1] for a in above.get(d, ())} | {(1, a) for a in beside.get(s[-2], ())}
+                    rows += [(r, a, t, path) for t in titles[s[-1]] for r, a in who]
+                for r in (0, 1):
+                    some = [x for x in rows if x[0] == r]
+                    keep = np.flatnonzero(passing_whole([f"{r}{a}/{t}" for _, a, t, _ in some], sent.value[3 + r], bits)) if some else ()
+                    yield pa.RecordBatch.from_arrays([pa.array([some[i][c] for i in keep], kind) for c, kind in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))], names=["_r", "_who", "_t", "path"])
+
+    on = ["_r", "_who", "_t"]
+    best = files.select("path").where("path is not null").mapInArrow(hits, "_r int, _who string, _t string, path string").groupBy(*on).agg(F.min("path").alias("path"))
+    rows = w.select("key", F.inline(F.array(asked(0, "_a"), asked(1, "_short"))))
+    return rows.join(best, on).groupBy("key").agg(F.min_by("path", F.struct("_r", "path")).alias("path"))
 
 
 def safe_moves(files: DataFrame, folder: str, taken: DataFrame, stamp: str) -> DataFrame:

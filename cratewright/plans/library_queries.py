@@ -191,7 +191,7 @@ SELECT key, arg_min(path, {{'r': r, 'p': path}}) AS path FROM x WHERE r IS NOT N
 def found_files(spark: SparkSession, d: str) -> DataFrame:
     t = tracks(spark, d)
     w = t.where("trim(artist) <> '' and trim(title) <> ''").groupBy(keys.song_key(c("artist"), c("title")).alias("key")).agg(F.min(F.trim("artist")).alias("artist"), F.min(F.trim("title")).alias("title"))
-    return library.find_files(w, t.select("path").distinct())
+    return library.find_files(w, t.select("path"))
 
 
 @query(f"WITH {_T} SELECT DISTINCT t.entry_id, '/share/' || substring(t.path, 14) AS audio FROM t WHERE starts_with(t.path, '/crates/main/') AND t.path IN (SELECT path FROM t WHERE entry_id % 3 <> 0)")
