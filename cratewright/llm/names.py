@@ -30,7 +30,7 @@ COMMON = 40  # forms of a key that one part compares with the whole key
 SUFFIX, WHOLE_SUFFIX, LEAST = 6, 8, 4  # letters of a word's indexed suffix, of that of two words written together, and of an indexed word at least
 ALIKE, REST_ALIKE = 0.84, 0.72  # LCS ratios from which words and rests agree
 NEAR_BEST = 0.08  # how far from equal words with a mere initial may be, one slip apart
-SEEN, SEEN_PART, SEEN_MOST = 3, 0.25, 12  # evidence for a short form, and rests of a main word that gives any
+SEEN, SEEN_PART, SEEN_WHOLE = 3, 0.25, 12  # evidence for a short form, and rests of a main word up to which it counts in full
 
 _NOISE = re.compile(r"\s*[\(\[][^)\]]*[\)\]]|\s+-\s+topic\b.*|\s+official\b.*|\bvevo\b")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -260,17 +260,26 @@ def _seen_short_forms(forms: DataFrame) -> DataFrame:
 
     At least SEEN main words must have both, and these must be a good part of
     all that have the rarer one; people who share a family name by chance do not
-    reach that.  A main word with more than SEEN_MOST rests says nothing about
-    which of them belong together.
+    reach that.  The more rests a main word has, the less it says about which of
+    them belong together: from SEEN_WHOLE rests on, it counts for as much less as
+    each rest has more partners.  Every main word and every pair counts.
     """
+    unit = 1_000_000  # evidence in whole parts, so that sums do not depend on their order
     rests = forms.where(F.length("b") > 2)
-    few = rests.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, SEEN_MOST)).select("a")
-    near = cut(rests.join(few, "a").select("a", "b"))
-    both = near.withColumnRenamed("b", "x").join(near.withColumnRenamed("b", "y"), "a").where("x < y")
-    pair = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    many = rests.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weighed = rests.join(many, "a").select("a", "b", F.least(F.lit(unit), F.floor(F.lit(unit * (SEEN_WHOLE - 1)) / (F.col("n") - 1))).alias("w"))
+    # A rest whose main words do not suffice all together makes no pair that does.
+    enough = weighed.groupBy("b").agg(F.sum("w").alias("all")).where(F.col("all") >= SEEN * unit).select("b")
+    near = weighed.join(enough, "b")
+    parts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COMMON).cast("int").alias("parts"))
+    near = cut(near.join(parts, "a"))
+    # Every part of a main word's rests meets all of them.
+    left = near.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("x"))
+    both = left.join(near.select("a", F.pmod(F.hash("b"), "parts").alias("part"), F.col("b").alias("y"), "w"), ["a", "part"]).where("x < y")
+    pair = both.groupBy("x", "y").agg(F.sum("w").alias("n")).where(F.col("n") >= SEEN * unit)
     used = forms.groupBy("b").agg(F.count(F.lit(1)).alias("n_b"))
     pair = pair.join(used.select(F.col("b").alias("x"), F.col("n_b").alias("nx")), "x").join(used.select(F.col("b").alias("y"), F.col("n_b").alias("ny")), "y")
-    return pair.where(F.col("n") >= SEEN_PART * F.least("nx", "ny")).select(F.col("x").alias("given"), F.col("y").alias("short"))
+    return pair.where(F.col("n") >= SEEN_PART * unit * F.least("nx", "ny")).select(F.col("x").alias("given"), F.col("y").alias("short"))
 
 
 def _slip_keys(words: pd.Series) -> pd.Series:
