@@ -6,8 +6,9 @@ are one form.  Suffix blocking finds candidates: each word is indexed by its
 suffix, as written and with one letter of it left out, so a slip near the end
 does no harm.  A suffix alone is too common, so every key is refined by the first
 letter of the other word; no key is discarded, at any size of the table.
-Candidates are compared by the longest-common-subsequence ratio, and linked
-forms are closed with hash-to-min.
+Candidates whose letters alone rule that out are put aside; the others are
+compared by the longest-common-subsequence ratio, and linked forms are closed
+with hash-to-min.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewright.llm.components import hash_to_min
@@ -28,7 +29,7 @@ from cratewright.session import cut
 
 COMMON = 40  # forms of a key that one part compares with the whole key
 SUFFIX, WHOLE_SUFFIX, LEAST = 6, 8, 4  # letters of a word's indexed suffix, of that of two words written together, and of an indexed word at least
-ALIKE, REST_ALIKE = 0.84, 0.72  # LCS ratios from which words and rests agree
+ALIKE, REST_ALIKE, TOGETHER = 0.84, 0.72, 0.9  # LCS ratios from which words, rests, and two words written together agree
 NEAR_BEST = 0.08  # how far from equal words with a mere initial may be, one slip apart
 SEEN, SEEN_PART, SEEN_WHOLE = 3, 0.25, 12  # evidence for a short form, and rests of a main word up to which it counts in full
 
@@ -216,7 +217,7 @@ def scores(a1: list[str], b1: list[str], a2: list[str], b2: list[str], rests: Re
         for whole in ([p + q for p, q in pair], [q + p for p, q in pair]):
             whole = [_DOUBLE.sub(r"\1", w) for w in whole]
             r = ratio(single, whole)
-            for k in np.flatnonzero((r >= 0.9) & (r > best[lone])):
+            for k in np.flatnonzero((r >= TOGETHER) & (r > best[lone])):
                 if len(pair[k][1]) > 1:
                     best[lone[k]] = r[k]
     return best
@@ -249,6 +250,44 @@ def block_keys(a: str, b: str, given_a: set[str], given_b: set[str]) -> set[tupl
     return keys
 
 
+def letters(word: str) -> int:
+    """The letters of a word as 64 bits, a bit for each time a letter stands in it; bits may be shared, so words differ in at least as many letters as bits."""
+    bits, seen = 0, {}
+    for c in word:
+        n = seen[c] = seen.get(c, -1) + 1
+        bits |= 1 << (ord(c) % 32 if n == 0 else 32 + ord(c) % 32 if n == 1 else (5 * ord(c) + 11 * n) % 64)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+LETTERS = ("in_a", "in_b", "in_ab", "n_a", "n_b", "lost")
+
+
+def _letters(a: str, b: str) -> Column:
+    """LETTERS of a form: the letters of both words and of both together, the length of each, and how many letters writing them together may lose."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        lost = [len(x) + len(y) - min(len(_DOUBLE.sub(r"\1", x + y)), len(_DOUBLE.sub(r"\1", y + x))) for x, y in zip(a, b)]
+        return pd.DataFrame({"in_a": a.map(letters), "in_b": b.map(letters), "in_ab": (a + b).map(letters), "n_a": a.map(len), "n_b": b.map(len), "lost": lost})
+
+    return F.pandas_udf(of, "in_a bigint, in_b bigint, in_ab bigint, n_a int, n_b int, lost int")(a, b)
+
+
+def _may_be_alike() -> Column:
+    """Whether :func:`scores` can be above 0 by the letters (LETTERS) of two forms 1 and 2.
+
+    An LCS ratio of r asks that at most (1 - r) of all letters stand in one word
+    only.  No pair is lost: it only spares comparisons that give 0.
+    """
+
+    def few(x: str, y: str, n: Column, least: float, more: Column | int = 0) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= n * (1 - least) + 1e-6 + more
+
+    n = lambda x, y: F.col(x) + F.col(y)
+    words = [few(f"in_{x}1", f"in_{y}2", n(f"n_{x}1", f"n_{y}2"), ALIKE) for x, y in ("aa", "ab", "ba")]
+    together = [(F.col(f"n_b{i}") == 0) & (F.col(f"n_b{j}") > 0) & few(f"in_a{i}", f"in_ab{j}", F.col(f"n_a{i}") + n(f"n_a{j}", f"n_b{j}"), TOGETHER, F.col(f"lost{j}")) for i, j in ((1, 2), (2, 1))]
+    return words[0] | words[1] | words[2] | together[0] | together[1]
+
+
 def _forms(credits: DataFrame, id_col: str, name_col: str, same_col: str | None) -> DataFrame:
     parsed = F.pandas_udf(lambda v: pd.DataFrame([parse(x) or (None, None) for x in v], columns=["a", "b"]), "a string, b string")
     same = F.col(same_col) if same_col else F.lit(None).cast("string")
@@ -322,20 +361,20 @@ def linked_names(credits: DataFrame, short_forms: DataFrame, id_col: str = "cred
     # A form becomes some dozens of keys, so small forms are spread over all cores before.
     spark = credits.sparkSession
     wide = told.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
-    keyed = cut(wide.select("id", "same", F.inline(keys("a", "b", F.col("a_short.meant"), F.col("b_short.meant")))).select("id", "same", F.xxhash64("key").alias("key"), (F.col("key") == F.col("plain")).alias("whole"), F.xxhash64("plain").alias("plain")))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # a key of one form finds nothing
-    keyed = cut(keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / COMMON).cast("int")).drop("size"))
+    form = ("id", "plain", "whole", *LETTERS)
+    keyed = wide.select("id", _letters("a", "b").alias("of"), F.inline(keys("a", "b", F.col("a_short.meant"), F.col("b_short.meant")))).select("id", "of.*", F.xxhash64("key").alias("key"), (F.col("key") == F.col("plain")).alias("whole"), F.xxhash64("plain").alias("plain"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))  # a key of one form finds nothing
+    keyed = cut(keyed.withColumn("parts", F.ceil(size / COMMON).cast("int")).withColumn("size", size).where("size > 1").select("key", "parts", *form))
     # Every part of a block meets the whole block.
-    form = ("id", "same", "plain", "whole")
     left = keyed.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}1") for c in form))
     right = keyed.select("key", F.pmod(F.hash("id"), F.col("parts")).alias("part"), *(F.col(c).alias(f"{c}2") for c in form))
-    apart = F.col("same1").isNotNull() & F.col("same2").isNotNull() & (F.col("same1") != F.col("same2"))
     # Forms with one plain key meet under that and not again under its shortened ones.
     once = (F.col("plain1") != F.col("plain2")) | F.col("whole1")
-    met = left.join(right, ["key", "part"]).where((F.col("id1") < F.col("id2")) & once & ~F.coalesce(apart, F.lit(False))).select("id1", "id2").distinct()
+    met = left.join(right, ["key", "part"]).where((F.col("id1") < F.col("id2")) & once & _may_be_alike()).select("id1", "id2").distinct()
     parts = [f"{c}{i}" for i in (1, 2) for c in ("a", "b")]
-    of = lambda i: told.select(F.col("id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("a", "b")), *(F.col(f"{c}_short.{x}").alias(f"{x}_{c}{i}") for c in ("a", "b") for x in ("given", "meant")))
-    found = met.join(of(1), "id1").join(of(2), "id2")
+    of = lambda i: told.select(F.col("id").alias(f"id{i}"), F.col("same").alias(f"same{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("a", "b")), *(F.col(f"{c}_short.{x}").alias(f"{x}_{c}{i}") for c in ("a", "b") for x in ("given", "meant")))
+    apart = F.col("same1").isNotNull() & F.col("same2").isNotNull() & (F.col("same1") != F.col("same2"))
+    found = met.join(of(1), "id1").join(of(2), "id2").where(~F.coalesce(apart, F.lit(False))).drop("same1", "same2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rests = Rests()
